@@ -31,14 +31,12 @@ def _grams(hashes: np.ndarray) -> np.ndarray:
     return np.unique(words.shingles(hashes, np.array([0, len(hashes)]), GRAM)[0])
 
 
-def split_item(text: str) -> tuple[str, str]:
-    """(question, answer): the last sentence is the answer; of a single sentence, its last third."""
+def answer_words(text: str) -> int:
+    """Words of the item's answer: its last sentence, or the last third of a single one; ``GRAM`` at least."""
     parts = [p for p in text.replace("?", "?\n").replace(".", ".\n").split("\n") if p.strip()]
-    if len(parts) > 1:
-        return "\n".join(parts[:-1]), parts[-1]
-    own = text.split()
-    at = len(own) - len(own) // 3
-    return " ".join(own[:at]), " ".join(own[at:])
+    sizes = [len(hash_terms(pa.array([p], pa.large_string()))[0]) for p in parts]
+    sizes = [n for n in sizes if n]
+    return max(GRAM, sizes[-1] if len(sizes) > 1 else sum(sizes) // 3)
 
 
 class Index:
@@ -72,9 +70,11 @@ class Index:
         self.n_blocks = int(block.max()) + 1 if len(block) else 0
         self.stride = max(LEAST_STRIDE, int(length.max()) if len(length) else 0)
         self.question, self.answer = [], []
-        for q, a in (split_item(t) for _, t in items):
-            self.question.append(_grams(self._hash([q])[0]))
-            self.answer.append(_grams(self._hash([a])[0]))
+        for k, (_, text) in enumerate(items):
+            own, n = hashes[first[k] : first[k + 1]], answer_words(text)
+            short = len(own) < n + GRAM  # then question and answer are one
+            self.question.append(_grams(own if short else own[:-n]))
+            self.answer.append(_grams(own if short else own[-n:]))
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -188,7 +188,8 @@ def _links(shared):
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and test item found in it: best score, question and answer overlap.
 
-    Null and empty texts hold nothing; items without words are not searched for; repeated rows are reported as
+    Null and empty texts hold nothing; items of fewer than three words are found only as
+    whole texts; repeated rows are reported as
     often as they occur; a null ``doc_id`` stays null.  No shuffle: texts are searched where they are read.
     """
     sc = docs.sparkSession.sparkContext

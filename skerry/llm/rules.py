@@ -120,9 +120,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_lines"),
         "n_shouts": F.length("_text") - F.length(_without(F.col("_text"), "!")),
     }
-    return df.withColumns({k: v.cast("long") for k, v in counts.items()}).drop(
-        "_text", "_hash", "_lines", "_windows", "_sorted", "_again"
-    )
+    # a generator of one row: a filter on the measures can't be pushed below it and repeat their expressions
+    row = F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])
+    return df.select(*[c for c in docs.columns if c not in counts], F.inline(F.array(row)))
 
 
 def rule_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
