@@ -180,20 +180,26 @@ s AS (
                list_transform(regexp_extract_all(hex(text), '..'), lambda h: CAST('0x' || h AS BIGINT))),
              lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INT) + 1])), 4294967295) AS text_crc32
   FROM d, tab),
-jump(doc_id, n, at, nxt, k) AS (
-  SELECT id, n, -1, 0, CAST(id AS HUGEINT)
-  FROM (SELECT DISTINCT CASE WHEN doc_id >= 0 THEN CAST(doc_id AS HUGEINT) ELSE CAST(doc_id AS HUGEINT) + 18446744073709551616 END AS id FROM documents), (VALUES (8), (9)) v(n)
+jump(doc_id, n, here, nxt, k) AS (
+  SELECT doc_id, n, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CASE WHEN doc_id >= 0 THEN CAST(doc_id AS HUGEINT) ELSE CAST(doc_id AS HUGEINT) + 18446744073709551616 END
+  FROM (SELECT DISTINCT doc_id FROM documents), (VALUES (8), (9)) v(n)
   UNION ALL
   SELECT doc_id, n, nxt,
-         CAST(floor((nxt + 1) * (2147483648.0::DOUBLE / CAST(k2 // 8589934592 + 1 AS DOUBLE))) AS INT), k2
+         CAST(floor((nxt + 1) * (CAST(2147483648 AS DOUBLE) / CAST(k2 // 8589934592 + 1 AS DOUBLE))) AS BIGINT), k2
   FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM jump WHERE nxt < n)),
 j AS (
-  SELECT doc_id, max(at) FILTER (n = 8) AS shard, max(at) FILTER (n = 9) AS grown_shard FROM jump GROUP BY doc_id),
-b AS (SELECT s.*, j.shard, j.grown_shard FROM s JOIN j ON j.doc_id = s.doc_id)
+  SELECT doc_id, max(here) FILTER (n = 8) AS shard, max(here) FILTER (n = 9) AS grown_shard FROM jump GROUP BY doc_id),
+b AS (
+  SELECT s.*, j.shard, j.grown_shard, xor(xor(xor(s.doc_id, s.doc_id >> 10), xor(s.doc_id >> 20, s.doc_id >> 30)),
+         xor(xor(s.doc_id >> 40, s.doc_id >> 50), s.doc_id >> 60)) & 1023 AS bucket
+  FROM s JOIN j ON j.doc_id = s.doc_id)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law,
-       CAST(shard AS INT) AS shard, CAST(grown_shard AS INT) AS grown_shard FROM b
+       CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot,
+       CAST(grown_shard AS INT) AS grown_shard
+FROM b
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_rule_ledger": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op3_jump_hash": OP3_SQL, "op9_rule_ledger": OP9_SQL, "op10_chat": OP10_SQL}

@@ -6,13 +6,12 @@ bits under a version name: applying one, or asking what dropping a rule would ch
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WHITE = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts")
 
@@ -49,8 +48,22 @@ def mask(policy: str | tuple[str, ...]) -> int:
     return sum(1 << order[n] for n in names)
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _shifted(by: int) -> Callable[[Column, Column], Column]:
+    return lambda a, b: a.bitwiseXOR(F.shiftleft(b, by))
+
+
+def _windows(words: str) -> Column:
+    """A 64-bit hash of every five words in a row, from word hashes: pairs, then fours, then fives, shifted by
+    their place.  No element is looked up by number.
+    """
+    left, n = F.col(words), F.size(words)
+    span = 1
+    for more in (1, 2, 1):
+        right = F.col(words) if more == 1 else left
+        size = F.greatest(n - (span + more - 1), F.lit(0))
+        left = F.zip_with(F.slice(left, F.lit(1), size), F.slice(right, F.lit(span + 1), size), _shifted(span))
+        span += more
+    return left
 
 
 def _covered(positions: Column) -> Column:
@@ -76,18 +89,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "_hash": F.transform(
                 F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)
             ),
-            "_lines": F.filter(F.split("_text", "\n"), lambda line: _without(line, WHITE) != ""),
+            "_lines": F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
         }
     )
     df = df.withColumns(
         {
-            "_windows": F.when(
-                F.size("_hash") >= WINDOW,
-                F.transform(
-                    F.sequence(F.lit(0), F.size("_hash") - WINDOW),
-                    lambda i: F.xxhash64(*[F.get("_hash", i + k) for k in range(WINDOW)]),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
+            "_windows": _windows("_hash"),
         }
     )
     df = df.withColumn(
@@ -113,12 +120,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     counts = {
         "n_words": F.size("_hash"),
-        "word_chars": F.length(_without(F.col("_text"), WHITE)),
-        "n_symbols": F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS)),
+        "word_chars": F.length("_text") - F.regexp_count("_text", F.lit(r"[\x20\x09-\x0D]")),
+        "n_symbols": F.regexp_count("_text", F.lit(r"[#*$%&|<>]")),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": F.coalesce(_covered(F.col("_again")), F.lit(0)),
         "n_lines": F.size("_lines"),
-        "n_shouts": F.length("_text") - F.length(_without(F.col("_text"), "!")),
+        "n_shouts": F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("!"), F.lit(""))),
     }
     # a generator of one row: a filter on the measures can't be pushed below it and repeat their expressions
     row = F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])

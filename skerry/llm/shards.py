@@ -2,7 +2,7 @@
 
 ``assign_shards`` is a projection: no shuffle, no ring table.  ``shard_ledger`` adds the place of every row in
 its shard; it never sorts a whole shard in one task: a shard is cut into hash buckets, the bucket sizes are
-summed up (``shards * buckets`` rows, whatever the input), and rows are numbered inside their bucket.
+summed up (``shards * 2**BUCKET_BITS`` rows, whatever the input), and rows are numbered inside their bucket.
 """
 
 from __future__ import annotations
@@ -68,7 +68,19 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", column: str
     return docs.withColumn(column, jump_shard(F.col(key), shards))
 
 
-def shard_ledger(docs: DataFrame, shards: int = 8, buckets: int = 1024) -> DataFrame:
+BUCKET_BITS = 10
+
+
+def _bucket(key: Column) -> Column:
+    """The key's bits folded onto ``BUCKET_BITS``; runs of ids and multiples of powers of two spread alike."""
+    key = F.coalesce(key, F.lit(0).cast("long"))
+    folded = key
+    for shift in range(BUCKET_BITS, 64, BUCKET_BITS):
+        folded = folded.bitwiseXOR(F.shiftrightunsigned(key, shift))
+    return folded.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
+
+
+def shard_ledger(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per document: its shard, its shard with one more shard, and its place there, gapless from 0.
 
     Repeated rows are counted before the shuffle and laid out again from their count, so a row that makes up
@@ -81,7 +93,7 @@ def shard_ledger(docs: DataFrame, shards: int = 8, buckets: int = 1024) -> DataF
     )
 
     def placed(df: DataFrame) -> DataFrame:
-        return assign_shards(df, shards).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+        return assign_shards(df, shards).withColumn("bucket", _bucket(F.col("doc_id")))
 
     in_shard = Window.partitionBy("shard").orderBy("bucket")
     starts = (
@@ -95,7 +107,7 @@ def shard_ledger(docs: DataFrame, shards: int = 8, buckets: int = 1024) -> DataF
     before = F.sum("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     return (
         rows.withColumn("before", before)
-        .join(F.broadcast(starts), ["shard", "bucket"])  # at most shards * buckets rows
+        .join(F.broadcast(starts), ["shard", "bucket"])  # at most shards * 2**BUCKET_BITS rows
         .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         .select(
             "doc_id",
