@@ -1,11 +1,682 @@
-"""The registered queries over the reference's operators."""
+"""The registered queries: each operator on the given tables, with SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from skerry.config import LeaseConfig, StitchConfig
+from skerry.functions import columns as C
+from skerry.operators import streams, tables, words
+from skerry.operators.tables import Rule
+from skerry.sources import files
 
-def oracle_sql():
-    return {}
+NOW = "2024-06-01 00:00:00"
+HOUR = 3_600_000
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# rules
+
+REGEX_RULES = [
+    Rule("articles", "regex", expression=r"\b(the|and)\b"),
+    Rule("german", "regex", expression=r"\b(und|der)\b"),
+    tables.BUILT_IN,
+    Rule("sleeping", "regex", expression=".", is_active=False),
+]
+_EDGE = r"(^|[^\p{L}\p{N}_])"
+
+
+def _regex(words: str) -> str:
+    return f"regexp_matches(t, '(?i){_EDGE}({words})([^\\p{{L}}\\p{{N}}_]|$)')"
+
+
+_DECISIONS = (
+    "concat_ws(',', CASE WHEN " + _regex("the|and") + " THEN 'articles' END, CASE WHEN " + _regex("und|der")
+    + " THEN 'german' END, CASE WHEN " + _regex("fire|burn|evacuation|spreading") + " THEN 'basic_fire_terms' END)"
+)
+_TEXTS = "(SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+
+
+@query(f"SELECT doc_id, {_DECISIONS} AS decisions FROM {_TEXTS} WHERE {_DECISIONS} <> ''")
+def rule_eval_regex(spark, sf_dir):
+    out = tables.flagged(tables.evaluate(table(spark, sf_dir, "documents"), REGEX_RULES))
+    return out.select("doc_id", F.array_join("decisions", ",").alias("decisions"))
+
+
+@query(
+    """SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'ung') THEN 'any' END,
+       CASE WHEN contains(text, 'The') THEN 'case' END) AS decisions
+       FROM conversations WHERE trim(text) <> '' AND (contains(lower(text), 'the') OR contains(lower(text), 'ung'))"""
+)
+def rule_eval_keyword_any(spark, sf_dir):
+    rules = [
+        Rule("any", "keyword", ("THE", "ung")),
+        Rule("case", "keyword", ("The",), case_sensitive=True),
+        Rule("none", "keyword", ()),
+    ]
+    out = tables.flagged(tables.evaluate(table(spark, sf_dir, "conversations"), rules))
+    return out.select("conv_id", "turn", F.array_join("decisions", ",").alias("decisions"))
+
+
+@query(
+    """SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(t), 'the') AND contains(lower(t), 'and') AND contains(lower(t), 'was') THEN 'all' END, 'empty') AS decisions
+       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE trim(t) <> ''"""
+)
+def rule_eval_keyword_all(spark, sf_dir):
+    rules = [Rule("all", "keyword", ("the", "and", "was"), "ALL"), Rule("empty", "keyword", (), "ALL")]
+    out = tables.flagged(tables.evaluate(table(spark, sf_dir, "documents"), rules))
+    return out.select("doc_id", F.array_join("decisions", ",").alias("decisions"))
+
+
+@query(
+    """SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(t), 'the') THEN 'a' END, CASE WHEN contains(lower(t), 'ung') THEN 'b' END,
+       CASE WHEN contains(lower(t), 'the') AND contains(lower(t), 'ung') THEN 'both' END) AS decisions
+       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE contains(lower(t), 'the') OR contains(lower(t), 'ung')"""
+)
+def rule_group_extension(spark, sf_dir):
+    rules = [
+        Rule("a", "keyword", ("the",)),
+        Rule("b", "keyword", ("ung",)),
+        Rule("both", "group", operator="ALL", children=("a", "b")),
+    ]
+    out = tables.flagged(tables.evaluate(table(spark, sf_dir, "documents"), rules, groups=True))
+    return out.select("doc_id", F.array_join("decisions", ",").alias("decisions"))
+
+
+@query(
+    f"""SELECT rule_id, count(*) AS n_texts FROM (SELECT unnest(string_split({_DECISIONS}, ',')) AS rule_id
+        FROM {_TEXTS}) WHERE rule_id <> '' GROUP BY rule_id ORDER BY n_texts DESC, rule_id"""
+)
+def rule_hits_summary(spark, sf_dir):
+    out = tables.evaluate(table(spark, sf_dir, "documents"), REGEX_RULES)
+    return (
+        out.select(F.explode("decisions").alias("rule_id"))
+        .groupBy("rule_id")
+        .agg(F.count(F.lit(1)).alias("n_texts"))
+        .orderBy(F.desc("n_texts"), "rule_id")
+    )
+
+
+@query(
+    """SELECT conv_id, turn, coalesce(CAST(nullif(turn, 0) AS VARCHAR), 'unset') AS start_ms, coalesce(CASE WHEN role = 'user' THEN turn END, 0) AS offset_ms
+       FROM conversations WHERE trim(coalesce(text, '')) <> '' AND contains(lower(text), 'the')"""
+)
+def notify_projection(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    out = tables.flagged(tables.evaluate(turns, [Rule("the", "keyword", ("the",))]))
+    return out.select(
+        "conv_id",
+        "turn",
+        F.coalesce(F.nullif("turn", F.lit(0)).cast("string"), F.lit("unset")).alias("start_ms"),
+        F.coalesce(F.when(F.col("role") == "user", F.col("turn")), F.lit(0)).alias("offset_ms"),
+    )
+
+
+# messages
+
+_CHECKED = """SELECT event_id, user_id, CASE WHEN k IS NULL THEN 'missing k' WHEN k < 10 THEN 'k too small'
+  WHEN value IS NULL OR value < 5 THEN 'value too small' END AS error
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+
+def _checked(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return tables.with_error(
+        events,
+        [
+            (F.col("k").isNull(), "missing k"),
+            (F.col("k") < 10, "k too small"),
+            (F.col("value") < 5, "value too small"),
+        ],
+    )
+
+
+@query(f"SELECT event_id, coalesce(error, 'none') AS error FROM ({_CHECKED})")
+def parse_dlq_split(spark, sf_dir):
+    return _checked(spark, sf_dir).select("event_id", F.coalesce("error", F.lit("none")).alias("error"))
+
+
+@query(
+    f"""SELECT coalesce(CAST(user_id AS VARCHAR), 'unknown') AS feed_id, error, 'pipeline_failure' AS error_type, 'parse' AS stage FROM ({_CHECKED}) WHERE error IS NOT NULL
+        UNION ALL SELECT coalesce(CAST(user_id AS VARCHAR), 'unknown'), 'no purchase value', 'pipeline_failure', 'value' FROM events WHERE event_type = 'purchase' AND value < 1"""
+)
+def dlq_union(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    broken = (F.col("event_type") == "purchase") & (F.col("value") < 1)
+    second = tables.with_error(events, [(broken, "no purchase value")])
+    one = tables.dead_letters(_checked(spark, sf_dir), F.col("user_id"), "parse")
+    return one.unionByName(tables.dead_letters(second, F.col("user_id"), "value")).drop("body")
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS event_ts_ms, (epoch_us(ts) // 1000) // 15000 * 15000 AS chunk_ms FROM events")
+def event_time_ms(spark, sf_dir):
+    ms = C.to_ms(F.col("ts"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", ms.alias("event_ts_ms"), (F.floor(ms / 15000) * 15000).cast("long").alias("chunk_ms")
+    )
+
+
+_MS = "(SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS ms FROM events)"
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", "value", C.to_ms(F.col("ts")).alias("ms")
+    )
+
+
+@query(
+    f"""SELECT user_id, event_id, n, a + n * 15000 AS chunk_start_ms FROM (SELECT user_id, event_id,
+        row_number() OVER w - 1 AS n, min(ms) OVER (PARTITION BY user_id) AS a FROM {_MS} WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))"""
+)
+def chunk_timeline(spark, sf_dir):
+    w = Window.partitionBy("user_id")
+    n = F.row_number().over(w.orderBy("ms", "event_id")) - 1
+    return _events(spark, sf_dir).select(
+        "user_id",
+        "event_id",
+        n.cast("long").alias("n"),
+        (F.min("ms").over(w) + n * 15000).cast("long").alias("chunk_start_ms"),
+    )
+
+
+@query(
+    f"""SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab')
+        || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS transmission_id FROM (SELECT event_id,
+        sha1(unhex('{C.NAMESPACE_OID}') || encode(user_id || '_' || ms || '_' || (ms + 15000))) AS h FROM {_MS})"""
+)
+def transmission_uuid5(spark, sf_dir):
+    name = F.concat_ws("_", *[x.cast("string") for x in (F.col("user_id"), F.col("ms"), F.col("ms") + 15000)])
+    return _events(spark, sf_dir).select("event_id", C.uuid5(name).alias("transmission_id"))
+
+
+@query(
+    """SELECT o_orderkey, 'icecast/' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '/token-' || o_orderkey % 5 END || '/' ||
+       strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '_' || o_orderkey || '.flac' AS staged,
+       'stitched/' || o_custkey || '/' || strftime(o_orderdate, '%Y/%m/%d') || '/' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '.flac' AS stitched,
+       'bucket-' || o_custkey % 7 AS bucket, 'raw/' || o_orderkey AS object, CAST(o_orderkey AS VARCHAR) AS base FROM orders"""
+)
+def storage_paths(spark, sf_dir):
+    token = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 5)
+    uri = F.concat(F.lit("gs://bucket-"), (F.col("o_custkey") % 7).cast("string"), F.lit("/raw/"), F.col("o_orderkey").cast("string"))
+    feed, at, key = F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        C.staged_path(F.lit("icecast"), feed, token, at, key).alias("staged"),
+        C.stitched_path(feed, at).alias("stitched"),
+        C.gs_bucket(uri).alias("bucket"),
+        C.gs_object(uri).alias("object"),
+        C.basename(uri).alias("base"),
+    )
+
+
+# sessions and intervals
+
+
+@query(
+    f"""SELECT user_id, CAST(session AS BIGINT) AS session, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS n_rows FROM (
+        SELECT user_id, ms, sum(f) OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS session FROM (
+        SELECT user_id, ms, event_id, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) < {6 * HOUR} THEN 0 ELSE 1 END AS f FROM {_MS}))
+        GROUP BY user_id, session"""
+)
+def gap_sessions(spark, sf_dir):
+    rows = streams.gap_sessions(_events(spark, sf_dir).select("user_id", "ms", "event_id"), "user_id", "ms", 6 * HOUR)
+    return rows.groupBy("user_id", "session").agg(
+        F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms) AS k FROM {_MS}),
+        s(user_id, k, ms, start, session) AS (
+          SELECT user_id, k, ms, ms, CAST(0 AS BIGINT) FROM e WHERE k = 1
+          UNION ALL SELECT e.user_id, e.k, e.ms, CASE WHEN e.ms - s.ms >= {12 * HOUR} OR e.ms - s.start >= {24 * HOUR} THEN e.ms ELSE s.start END,
+            s.session + CASE WHEN e.ms - s.ms >= {12 * HOUR} OR e.ms - s.start >= {24 * HOUR} THEN 1 ELSE 0 END
+          FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+        SELECT user_id, session, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS n_rows FROM s GROUP BY user_id, session"""
+)
+def gap_max_sessions(spark, sf_dir):
+    return streams.gap_max_sessions(_events(spark, sf_dir), "user_id", "ms", 12 * HOUR, 24 * HOUR)
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_type, ms, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms, event_id) AS k FROM {_MS}),
+        s(user_id, event_type, k, event_id, ms, until, first) AS (
+          SELECT user_id, event_type, k, event_id, ms, ms + {24 * HOUR}, true FROM e WHERE k = 1
+          UNION ALL SELECT e.user_id, e.event_type, e.k, e.event_id, e.ms, CASE WHEN e.ms < s.until THEN s.until ELSE e.ms + {24 * HOUR} END, e.ms >= s.until
+          FROM s JOIN e ON e.user_id = s.user_id AND e.event_type = s.event_type AND e.k = s.k + 1)
+        SELECT user_id, event_type, ms, event_id FROM s WHERE first"""
+)
+def ttl_dedup(spark, sf_dir):
+    return streams.ttl_first(_events(spark, sf_dir), ["user_id", "event_type"], "ms", 24 * HOUR, "event_id")
+
+
+@query(f"SELECT user_id, event_type, min(ms) AS ms FROM {_MS} GROUP BY user_id, event_type")
+def watermark_dedup_ids(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("ms").alias("ms"))
+
+
+def _arrivals(spark, sf_dir):
+    w = Window.partitionBy("user_id")
+    slot = F.row_number().over(w.orderBy("ms", "event_id")) - 1
+    return (
+        _events(spark, sf_dir)
+        .withColumn("event_ts_ms", (slot * 15000).cast("long"))
+        .withColumn("_moved", slot + F.when(F.col("event_id") % 7 == 0, 2).otherwise(0))
+        .withColumn("seq", F.row_number().over(w.orderBy("_moved", "event_id")).cast("long"))
+        .select(
+            F.col("user_id").alias("feed_id"),
+            F.lit("s").alias("session_id"),
+            F.concat(F.lit("gs://b/"), F.col("event_id").cast("string")).alias("gcs_uri"),
+            "event_ts_ms",
+            (F.col("seq") * 15000).alias("arrival_ts_ms"),
+            "seq",
+        )
+    )
+
+
+@query()
+def reorder_replay(spark, sf_dir):
+    return streams.reorder(_arrivals(spark, sf_dir))
+
+
+@query()
+def stitch_transmissions(spark, sf_dir):
+    speech = F.when(
+        F.col("event_id") % 5 < 4,
+        F.array(F.struct((F.col("event_id") % 4000).alias("start_ms"), (9000 + F.col("event_id") % 6000).alias("end_ms"))),
+    )
+    w = Window.partitionBy("user_id").orderBy("ms", "event_id")
+    chunks = _events(spark, sf_dir).select(
+        F.col("user_id").alias("feed_id"),
+        F.concat(F.lit("gs://b/"), F.col("event_id").cast("string")).alias("gcs_uri"),
+        ((F.row_number().over(w) - 1 + F.floor(F.row_number().over(w) / 9)) * 15000).cast("long").alias("start_ms"),
+        F.lit(15000).cast("long").alias("duration_ms"),
+        speech.alias("speech_segments"),
+        F.row_number().over(w).cast("long").alias("place"),
+    )
+    found = streams.stitch(chunks, StitchConfig(gap_ms=3000, max_ms=60_000))
+    return found.withColumn("contributing_audio_uris", F.array_join("contributing_audio_uris", ","))
+
+
+_ON = f"(SELECT *, value > 50 AS hot FROM {_MS})"
+
+
+def _hot(spark, sf_dir):
+    return _events(spark, sf_dir).withColumn("hot", F.col("value") > 50)
+
+
+@query(
+    f"""SELECT user_id, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS n_rows FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - row_number() OVER (PARTITION BY user_id, hot ORDER BY ms, event_id) AS g FROM {_ON})
+        WHERE hot GROUP BY user_id, g"""
+)
+def runlength_intervals(spark, sf_dir):
+    return streams.run_intervals(_hot(spark, sf_dir), "user_id", "ms", "hot")
+
+
+@query(
+    f"""SELECT event_id, sum(CAST(hot AS INT)) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) >= 3 AS "on" FROM {_ON}"""
+)
+def majority_debounce(spark, sf_dir):
+    return streams.majority(_hot(spark, sf_dir), "user_id", ["ms", "event_id"], "hot", 2).select("event_id", "on")
+
+
+@query(
+    f"SELECT event_id, bool_or(hot) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS held FROM {_ON}"
+)
+def forward_hangover(spark, sf_dir):
+    return streams.hangover(_hot(spark, sf_dir), "user_id", ["ms", "event_id"], "hot", 3).select("event_id", "held")
+
+
+@query("SELECT user_id, round(quantile_cont(value, 0.1), 6) AS floor_p10, count(*) AS n_rows FROM events GROUP BY user_id")
+def noise_floor_p10(spark, sf_dir):
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy("user_id")
+        .agg(F.round(F.percentile("value", F.lit(0.1)), 6).alias("floor_p10"), F.count(F.lit(1)).alias("n_rows"))
+    )
+
+
+@query(
+    """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 5) AS rms,
+       CAST(len(list_filter(embedding, lambda x: x >= 0.05)) AS BIGINT) * 16 AS speech_ms FROM embeddings"""
+)
+def vector_rms(spark, sf_dir):
+    squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
+    total = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.round(F.sqrt(total / F.size("embedding")), 5).alias("rms"),
+        (F.size(F.filter("embedding", lambda x: x >= F.lit(0.05).cast("float"))).cast("long") * 16).alias("speech_ms"),
+    )
+
+
+# leases
+
+_FEEDS = f"""(SELECT s_suppkey AS id, s_name AS name,
+  CASE s_suppkey % 5 WHEN 0 THEN 'unclaimed' WHEN 1 THEN 'active' WHEN 2 THEN 'failing' WHEN 3 THEN 'quarantined' ELSE 'deactivated' END AS status,
+  CASE WHEN s_suppkey % 5 = 1 THEN 'w' || s_suppkey % 3 END AS worker_id,
+  CASE WHEN s_suppkey % 5 <> 0 THEN TIMESTAMP '{NOW}' - to_seconds(s_suppkey % 200) END AS last_heartbeat,
+  CASE WHEN s_suppkey % 5 = 2 AND s_suppkey % 4 > 0 THEN TIMESTAMP '{NOW}' + to_seconds((s_suppkey % 4 - 2) * 60) END AS retry_after,
+  s_suppkey % 7 AS failure_count, s_suppkey % 4 AS fencing_token FROM supplier)"""
+
+
+def feeds(spark, sf_dir):
+    key, now = F.col("s_suppkey"), F.lit(NOW).cast("timestamp")
+    names = ["unclaimed", "active", "failing", "quarantined", "deactivated"]
+    status = F.element_at(F.array(*[F.lit(n) for n in names]), (key % 5 + 1).cast("int"))
+    later = F.make_dt_interval(secs=((key % 4 - 2) * 60).cast("decimal(18,6)"))
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("id"),
+        F.col("s_name").alias("name"),
+        status.alias("status"),
+        F.when(key % 5 == 1, F.concat(F.lit("w"), (key % 3).cast("string"))).alias("worker_id"),
+        F.when(key % 5 != 0, now - F.make_dt_interval(secs=(key % 200).cast("decimal(18,6)"))).alias("last_heartbeat"),
+        F.when((key % 5 == 2) & (key % 4 > 0), now + later).alias("retry_after"),
+        (key % 7).alias("failure_count"),
+        (key % 4).alias("fencing_token"),
+    )
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+_ELIGIBLE = f"""(status = 'unclaimed' OR (status = 'failing' AND (retry_after IS NULL OR retry_after <= TIMESTAMP '{NOW}'))
+  OR (status = 'active' AND last_heartbeat < TIMESTAMP '{NOW}' - INTERVAL 60 SECOND))"""
+_PRIORITY = "ORDER BY (status = 'unclaimed') DESC, retry_after ASC NULLS FIRST, last_heartbeat ASC NULLS FIRST, id"
+_URLS = "(SELECT c_custkey AS id, 'http://' || c_name AS stream_url FROM customer WHERE c_custkey % 2 = 0)"
+
+
+def _urls(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("http://"), "c_name").alias("stream_url")
+    )
+
+
+@query(
+    f"""SELECT id, 'active' AS status, 'me' AS worker_id, fencing_token + 1 AS fencing_token, failure_count, stream_url
+        FROM (SELECT * FROM {_FEEDS} WHERE {_ELIGIBLE} {_PRIORITY} LIMIT 25) LEFT JOIN {_URLS} USING (id)"""
+)
+def lease_acquire(spark, sf_dir):
+    got = tables.lease(feeds(spark, sf_dir), _urls(spark, sf_dir), "me", _now(), LeaseConfig(limit=25))
+    return got.drop("last_heartbeat")
+
+
+@query(
+    f"""WITH l AS (SELECT id FROM {_FEEDS} WHERE {_ELIGIBLE} {_PRIORITY} LIMIT 25)
+        SELECT id, CASE WHEN l.id IS NULL THEN status ELSE 'active' END AS status, CASE WHEN l.id IS NULL THEN worker_id ELSE 'me' END AS worker_id,
+        fencing_token + CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS fencing_token FROM {_FEEDS} f LEFT JOIN l USING (id)"""
+)
+def lease_state_after(spark, sf_dir):
+    own = feeds(spark, sf_dir)
+    got = tables.lease(own, _urls(spark, sf_dir), "me", _now(), LeaseConfig(limit=25))
+    return tables.apply_lease(own, got).select("id", "status", "worker_id", "fencing_token")
+
+
+@query(
+    f"""SELECT id, status, worker_id, status = 'active' AND worker_id IS NOT DISTINCT FROM 'w1' AS renewed FROM {_FEEDS} WHERE id % 2 = 1"""
+)
+def heartbeat_diag(spark, sf_dir):
+    own = feeds(spark, sf_dir)
+    return tables.heartbeats(own, own.where("id % 2 = 1").select("id"), "w1")
+
+
+@query(
+    f"""SELECT id, CASE WHEN failure_count + 1 >= 5 THEN 'quarantined' ELSE 'failing' END AS status, failure_count + 1 AS failure_count,
+        CASE WHEN failure_count + 1 < 5 THEN least(600.0, 15.0 * pow(2.0, failure_count)) END AS retry_in_s FROM {_FEEDS} WHERE status = 'active'"""
+)
+def report_failure(spark, sf_dir):
+    own = feeds(spark, sf_dir)
+    failed = own.where("status = 'active'").select("id")
+    out = tables.report_failure(own, failed, _now(), LeaseConfig(), F.lit(0.0))
+    return out.select("id", "status", "failure_count", "retry_in_s")
+
+
+@query(
+    f"""SELECT id, 'w1' AS worker_id, id % 3 AS fencing_token, status = 'active' AND worker_id = 'w1' AND id % 4 = id % 3 AS done
+        FROM {_FEEDS} WHERE status = 'active' AND worker_id IS NOT NULL"""
+)
+def fenced_progress(spark, sf_dir):
+    own = feeds(spark, sf_dir).where("status = 'active' AND worker_id IS NOT NULL")
+    asked = own.select("id", F.lit("w1").alias("worker_id"), (F.col("id") % 3).alias("fencing_token"))
+    return tables.fenced(own, asked)
+
+
+@query(f"SELECT id, 'unclaimed' AS status FROM {_FEEDS} WHERE status = 'active' AND worker_id = 'w2'")
+def release_batch(spark, sf_dir):
+    return tables.release(feeds(spark, sf_dir), "w2").select("id", "status")
+
+
+@query(f"SELECT id FROM {_FEEDS} WHERE status = 'active' EXCEPT SELECT id FROM {_FEEDS} WHERE worker_id = 'w1' AND status = 'active'")
+def lost_leases(spark, sf_dir):
+    own = feeds(spark, sf_dir)
+    held = own.where("status = 'active'").select("id")
+    renewed = tables.heartbeats(own, held, "w1").where("renewed")
+    return held.join(renewed, "id", "left_anti")
+
+
+# manifests
+
+
+@query(
+    """SELECT o_orderkey, a, b AS matched_offset, coalesce(l, -1) AS line FROM (
+       SELECT o_orderkey, round(o_totalprice % 60, 4) AS a, b, l, row_number() OVER (PARTITION BY o_orderkey ORDER BY l) AS k
+       FROM orders LEFT JOIN (SELECT l_orderkey, round(l_extendedprice % 60, 4) AS b, l_linenumber AS l FROM lineitem) x
+       ON l_orderkey = o_orderkey AND abs(round(o_totalprice % 60, 4) - b) < 5.0) WHERE k = 1"""
+)
+def tolerance_join_first(spark, sf_dir):
+    left = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey"), F.round(F.col("o_totalprice") % 60, 4).alias("a")
+    )
+    right = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.round(F.col("l_extendedprice") % 60, 4).alias("b"),
+        F.col("l_linenumber").alias("l"),
+    )
+    out = tables.tolerance_first(left, right, "o_orderkey", "a", "b", 5.0, "l")
+    return out.select("o_orderkey", "a", F.col("found.b").alias("matched_offset"), F.coalesce(F.col("found.l"), F.lit(-1)).alias("line"))
+
+
+@query(
+    """SELECT x.o_orderkey, x.o_orderstatus AS pred_text_a, y.o_orderpriority AS pred_text_b FROM orders x JOIN orders y ON x.o_orderkey = y.o_orderkey"""
+)
+def positional_merge(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    a = streams.numbered(orders, "o_orderkey").select("number", "o_orderkey", F.col("o_orderstatus").alias("pred_text_a"))
+    b = streams.numbered(orders, "o_orderkey").select(
+        "number", F.col("o_orderkey").alias("_key"), F.col("o_orderpriority").alias("pred_text_b")
+    )
+    same = F.when(F.col("o_orderkey") == F.col("_key"), F.col("pred_text_a")).otherwise(
+        F.raise_error(F.lit("rows of the merged manifests differ"))
+    )
+    return a.join(b, "number").select("o_orderkey", same.alias("pred_text_a"), "pred_text_b")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def pending_antijoin(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id, coalesce(CAST(l.quality AS VARCHAR), '') AS prediction, l.doc_id IS NULL AS unmatched FROM documents d LEFT JOIN labels l USING (doc_id)")
+def lookup_default(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("_hit"))
+    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("prediction"),
+        F.col("_hit").isNull().alias("unmatched"),
+    )
+
+
+@query(
+    """SELECT doc_id, CAST(i - 1 AS INT) AS line_no, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+       WHERE trim(lines[i]) <> ''"""
+)
+def explode_nested(spark, sf_dir):
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        .where(F.trim("line") != "")
+    )
+
+
+@query(
+    """SELECT p_partkey, 'brand' AS model, p_brand AS pred_text FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part UNION ALL SELECT p_partkey, 'name', p_name FROM part"""
+)
+def unpivot_long(spark, sf_dir):
+    wide = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.col("p_brand").alias("pred_text_brand"),
+        F.col("p_type").alias("pred_text_type"),
+        F.col("p_name").alias("pred_text_name"),
+    )
+    return words.to_long(wide, ["p_partkey"])
+
+
+@query(
+    """SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase,
+       count(*) FILTER (event_type = 'view') AS "view" FROM events GROUP BY user_id"""
+)
+def pivot_wide(spark, sf_dir):
+    kinds = ["click", "purchase", "view"]
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy("user_id")
+        .agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in kinds])
+    )
+
+
+_NORMAL = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(replace(lower(regexp_replace(regexp_replace({t}, '[<\[][^>\]]*[>\]]', '', 'g'), '_+', '', 'g')), '-', ' '),
+    '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(?:(?:uh|um|ah|er)(?:([^\p{{L}}\p{{M}}\p{{N}}_])(?:uh|um|ah|er))*)($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1 \3', 'g'),
+    '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(uh|um|ah|er)($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1\3', 'g'),
+    '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(uh|um|ah|er)($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1\3', 'g'),
+  'won''t', 'will not'), 'can''t', 'can not'), 'let''s', 'let us'), 'n''t', ' not'), '''re', ' are'), '''s', ' is'), '''d', ' would'), '''ll', ' will'), '''t', ' not'), '''ve', ' have'), '''m', ' am'),
+  '[!-/:-@\[-`{{-~]', '', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'))"""
+
+
+@query("SELECT doc_id, " + _NORMAL.format(t="coalesce(text, '')") + " AS normal FROM documents")
+def text_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", C.normalise(F.coalesce("text", F.lit(""))).alias("normal")
+    )
+
+
+def _pairs(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("turn IN (0, 1)")
+    return turns.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("text"),
+        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("pred_text_reply"),
+        F.max(F.when(F.col("turn") == 0, F.substring_index("text", " ", 12))).alias("pred_text_head"),
+    )
+
+
+@query()
+def wer_samples(spark, sf_dir):
+    return words.word_errors(words.to_long(_pairs(spark, sf_dir), ["conv_id", "text"]), "text", "pred_text")
+
+
+@query()
+def wer_leaderboard(spark, sf_dir):
+    return words.leaderboard(wer_samples(spark, sf_dir))
+
+
+@query(
+    """SELECT conv_id, CAST(list_reduce(list_prepend(0, list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: CASE WHEN a[i] IS NOT DISTINCT FROM b[i] THEN 0 ELSE 1 END)), lambda x, y: x + y) AS BIGINT) AS n_differences,
+       CAST(len(a) AS BIGINT) AS n_words FROM (SELECT conv_id, string_split(max(text) FILTER (turn = 0), ' ') AS a, string_split(max(text) FILTER (turn = 1), ' ') AS b FROM conversations WHERE turn IN (0, 1) GROUP BY conv_id)"""
+)
+def positional_differences(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).select(
+        "conv_id", F.split("text", " ").alias("a"), F.split("pred_text_reply", " ").alias("b")
+    )
+    differs = F.zip_with("a", "b", lambda x, y: (~x.eqNullSafe(y)).cast("long"))
+    return pairs.select(
+        "conv_id",
+        F.aggregate(differs, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_differences"),
+        F.size("a").cast("long").alias("n_words"),
+    )
+
+
+# generators, batches, selection
+
+
+@query(
+    """SELECT n_nationkey, CAST(d AS VARCHAR) AS day, CAST(h AS BIGINT) AS hour, n_name || '/' || strftime(d, '%Y%m%d') || '_' || lpad(CAST(h AS VARCHAR), 2, '0') || '.mp3' AS path
+       FROM nation, (SELECT CAST(DATE '2024-01-01' + CAST(i AS INT) AS DATE) AS d FROM range(3) t(i)), range(24) u(h)"""
+)
+def candidate_grid(spark, sf_dir):
+    prefixes = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return files.candidate_paths(prefixes, "n_name", "2024-01-01", "2024-01-03").select(
+        "n_nationkey", F.col("day").cast("string").alias("day"), F.col("hour").cast("long").alias("hour"), "path"
+    )
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 15 AS batch FROM documents")
+def batch_of_15(spark, sf_dir):
+    rows = streams.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return rows.select("doc_id", F.floor(F.col("number") / 15).cast("long").alias("batch"))
+
+
+@query(
+    """SELECT o_orderkey, l_linenumber, lpad(CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS VARCHAR), 3, '0') AS segment_id
+       FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
+)
+def segment_ordinal(spark, sf_dir):
+    w = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return (
+        lines.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+        .select("o_orderkey", "l_linenumber", F.lpad((F.row_number().over(w) - 1).cast("string"), 3, "0").alias("segment_id"))
+    )
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_type IS NOT NULL AND p_retailprice > 0")
+def feed_selection(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(
+        (F.col("p_size") >= 10) & F.col("p_type").isNotNull() & (F.col("p_retailprice") > 0)
+    ).select("p_partkey", "p_size")
+
+
+@query("SELECT count(*) AS checked, count(*) FILTER (l_quantity >= 25) AS found, count(*) FILTER (l_quantity < 25) AS failed FROM lineitem")
+def counters(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(
+        F.count(F.lit(1)).alias("checked"),
+        F.count_if(F.col("l_quantity") >= 25).alias("found"),
+        F.count_if(F.col("l_quantity") < 25).alias("failed"),
+    )
+
+
+@query("SELECT n_nationkey AS id, 'unknown source type' AS rule FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3)")
+def constraint_violations(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("source_type")
+    )
+    known = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("slug"))
+    return tables.violations(rows, known)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
