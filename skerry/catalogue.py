@@ -480,7 +480,7 @@ def lost_leases(spark, sf_dir):
 
 @query(
     """SELECT o_orderkey, a, b AS matched_offset, coalesce(l, -1) AS line FROM (
-       SELECT o_orderkey, round(o_totalprice % 60, 4) AS a, b, l, row_number() OVER (PARTITION BY o_orderkey ORDER BY l) AS k
+       SELECT o_orderkey, round(o_totalprice % 60, 4) AS a, b, l, row_number() OVER (PARTITION BY o_orderkey ORDER BY l, b) AS k
        FROM orders LEFT JOIN (SELECT l_orderkey, round(l_extendedprice % 60, 4) AS b, l_linenumber AS l FROM lineitem) x
        ON l_orderkey = o_orderkey AND abs(round(o_totalprice % 60, 4) - b) < 5.0) WHERE k = 1"""
 )

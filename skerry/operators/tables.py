@@ -179,7 +179,7 @@ def tolerance_first(left: DataFrame, right: DataFrame, key: str, a: str, b: str,
     cell = F.floor(F.col(b) / within)
     near = right.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     own = left.withColumn("_cell", F.floor(F.col(a) / within))
-    first = F.min_by(F.struct(*[c for c in right.columns if c != key]), order)
+    first = F.min_by(F.struct(*[c for c in right.columns if c != key]), F.struct(order, b))
     ids = [c for c in left.columns]
     joined = own.join(near, [key, "_cell"]).where(F.abs(F.col(a) - F.col(b)) < within)
     found = joined.groupBy(*ids).agg(first.alias("found"))
