@@ -22,6 +22,8 @@ THRESHOLD = 0.5
 OVERLAP = 0.5
 GRAM = 3
 ITEMS_PER_BLOCK = 16
+#: Passages that are scored together.
+PASSAGES = 256
 LEAST_STRIDE = 32
 #: Bytes of item texts in one index; more items make further indexes, each asked by every passage.
 INDEX_BYTES = 32 << 20
@@ -107,15 +109,26 @@ class Index:
         live = np.flatnonzero(most[end] - most[begin] >= THRESHOLD - 1e-9)
         if not len(live):
             return []
-        size = end[live] - begin[live]
-        passage = np.repeat(np.arange(len(live)), size)
-        own = term[np.repeat(begin[live] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        out = []
+        for k in range(0, len(live), PASSAGES):  # a bounded piece of work at a time
+            part = live[k : k + PASSAGES]
+            for p, item, x in self._score(term, begin[part], end[part]):
+                out.append((int(text[part[p]]), item, x, int(begin[part[p]]), int(end[part[p]])))
+        return out
+
+    def _score(self, term: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, item, score) of the passages that passed the first bound."""
+        size = end - begin
+        passage = np.repeat(np.arange(len(size)), size)
+        own = term[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
         pair = np.unique(passage[own >= 0] * len(self.terms) + own[own >= 0])
         passage, own = np.divmod(pair, len(self.terms))
         spread = self.block_start[own + 1] - self.block_start[own]
         at = np.repeat(self.block_start[own] - np.cumsum(spread) + spread, spread) + np.arange(spread.sum())
         cell, back = np.unique(np.repeat(passage, spread) * self.n_blocks + self.block[at], return_inverse=True)
-        cell = cell[np.bincount(back, weights=self.block_top[at]) >= THRESHOLD - 1e-9]
+        cell = cell[np.bincount(back, weights=self.block_top[at], minlength=len(cell)) >= THRESHOLD - 1e-9]
+        some = np.isin(passage, cell // max(1, self.n_blocks))
+        passage, own = passage[some], own[some]
         spread = self.start[own + 1] - self.start[own]
         at = np.repeat(self.start[own] - np.cumsum(spread) + spread, spread) + np.arange(spread.sum())
         owner = np.repeat(passage, spread)
@@ -123,11 +136,8 @@ class Index:
         at, owner = at[opened], owner[opened]
         found, back = np.unique(owner * len(self.ids) + self.item[at], return_inverse=True)
         score = np.bincount(back, weights=self.impact[at], minlength=len(found))
-        out = []
         for f, x in zip(found[score >= THRESHOLD].tolist(), score[score >= THRESHOLD].tolist(), strict=True):
-            p, item = divmod(f, len(self.ids))
-            out.append((int(text[live[p]]), item, x, int(begin[live[p]]), int(end[live[p]])))
-        return out
+            yield (*divmod(f, len(self.ids)), x)
 
     def hits(self, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """(text, item id, score, question overlap, answer overlap) of the verified items of each text."""

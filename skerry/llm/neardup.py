@@ -98,10 +98,14 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 FINGERPRINT = "doc_id long, key binary, n_words long, bands array<long>"
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
-        for a, b in words.slices(texts, 1 << 21):
+        for a, b in words.slices(texts):
             part = texts.slice(a, b - a)
             data, bounds = words.buffers(part)
             hashes, first = words.hash_words(data, bounds)
@@ -193,8 +197,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a += x
                     b += y
                 group, keys, texts = g, [], []
-            keys.append(key)
-            texts.append(text or "")
+            # an id may stand for several texts, and a text for several rows
+            if (not keys or keys[-1] != key) and _digest(text or "") == key:
+                keys.append(key)
+                texts.append(text or "")
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
         a, b = [], []
     if len(keys) > 1:
@@ -208,7 +214,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two texts are linked if the multiset Jaccard similarity of their five-word shingles is 0.8 or more and they
     share a band (missed with probability 1e-4 at 0.8, less above).  Texts of fewer than five words are one
     shingle; null, empty and wordless texts are linked to equal ones only (null counts as empty).  Repeated rows are
-    one class.  A class whose ids are all null has the class id null.  Extra columns are not read.
+    one class.  A class whose ids are all null has the class id null and
+    is linked to equal texts only.  Extra columns are not read.
     """
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut(columns.mapInArrow(_fingerprint, FINGERPRINT), "prints")
@@ -224,7 +231,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     bands = cut(bands, "bands")
     hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = bands.join(hubs, "band").where(F.col("key") != F.col("hub")).select(
+    # always by sort and merge: bands are not small, and a crowded band is a skewed join that Spark splits
+    stars = bands.join(hubs.hint("merge"), "band").where(F.col("key") != F.col("hub")).select(
         F.col("key").alias("a"), F.col("hub").alias("b")
     )
     candidates = cut(
@@ -249,14 +257,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     wanted = dealt.where(F.col("doc_id").isNotNull())
     if candidates.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(candidates.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("key").alias("_key")))
-        digest = columns.join(ids, "doc_id")
-    else:
-        digest = columns.join(candidates.select("doc_id", F.col("key").alias("_key")), "doc_id")
-    # a doc_id may stand for several texts: one row for each key
-    texts = digest.groupBy("doc_id", "_key").agg(F.min("text").alias("text"))
+        wanted = F.broadcast(wanted)
     links = cut(
-        wanted.join(texts, (wanted.doc_id == texts.doc_id) & (wanted.key == texts["_key"]))
+        columns.join(wanted, "doc_id")
         .select("group", "key", "text")
         .repartition("group")
         .sortWithinPartitions("group", "key")
