@@ -282,12 +282,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     If ids repeat, one row for an id that stays.  A class without any id keeps one row.
     """
-    found = near_duplicates(docs)
-    known = found.where(F.col("class_id").isNotNull())
-    stay = cut(known.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_stays")), "stay")
-    repeated = stay.count() != stay.distinct().count()
-    kept = docs.join(stay.distinct(), F.col("doc_id") == F.col("_stays"), "left_semi")
-    kept = kept.dropDuplicates(["doc_id"]) if repeated else kept
-    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    lost = found.where(F.col("class_id").isNull())
-    return kept.unionByName(nameless) if lost.head(1) else kept
+    found = cut(near_duplicates(docs), "classes")
+    rows, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if rows == ids:  # the few that go are smaller than those that stay
+        gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
+        side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+        kept = docs.where(F.col("doc_id").isNotNull()).join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
+    else:
+        stay = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_stays")).distinct()
+        kept = docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
+    if found.where(F.col("class_id").isNull()).head(1):
+        return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    return kept
