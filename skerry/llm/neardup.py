@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import words
 from skerry.llm.graph import connected
-from skerry.llm.storage import cut
+from skerry.llm.storage import cut, fresh
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a fraction
@@ -283,14 +283,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     If ids repeat, one row for an id that stays.  A class without any id keeps one row.
     """
     found = cut(near_duplicates(docs), "classes")
+    other = fresh(docs, "_other")
     rows, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if rows == ids:  # the few that go are smaller than those that stay
-        gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
+        gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(other))
         side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-        kept = docs.where(F.col("doc_id").isNotNull()).join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
+        kept = docs.where(F.col("doc_id").isNotNull()).join(side, F.col("doc_id") == F.col(other), "left_anti")
     else:
-        stay = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_stays")).distinct()
-        kept = docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
+        stay = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(other)).distinct()
+        kept = docs.join(stay, F.col("doc_id") == F.col(other), "left_semi").dropDuplicates(["doc_id"])
     if found.where(F.col("class_id").isNull()).head(1):
         return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
     return kept

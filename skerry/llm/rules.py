@@ -80,10 +80,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     Null text counts as empty: all measures 0.  The windows of one text are compared by a 64-bit hash of
     their words.  Work per text is a sort of its windows, and only where some window occurs twice.
     """
-    work = {
-        "_text": F.coalesce(F.col(text).cast("string"), F.lit("")),
-    }
-    df = docs.withColumns(work)
+    docs = docs.select(F.struct(*docs.columns).alias("_row"))
+    df = docs.withColumn("_text", F.coalesce(F.col(f"_row.{text}").cast("string"), F.lit("")))
     df = df.withColumns(
         {
             "_hash": F.transform(
@@ -129,7 +127,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     # a generator of one row: a filter on the measures can't be pushed below it and repeat their expressions
     row = F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])
-    return df.select(*[c for c in docs.columns if c not in counts], F.inline(F.array(row)))
+    kept = [f"_row.{c}" for c in docs.schema["_row"].dataType.names if c not in (*counts, "fail_bits")]
+    return df.select(*kept, F.inline(F.array(row)))
 
 
 def rule_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -151,7 +150,8 @@ def apply_policy(ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows whose text passes the policy, with the columns they came with."""
-    return rule_ledger(docs).where(passes(policy)).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
+    return rule_ledger(whole).where(passes(policy)).select("_row.*")
 
 
 def ablation(ledger: DataFrame, policy: str = CURRENT) -> DataFrame:

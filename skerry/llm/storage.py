@@ -32,6 +32,13 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def drop(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``, once nothing reads it any more."""
     jvm = df.sparkSession._jvm
