@@ -14,9 +14,8 @@ def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
     body = F.regexp_replace(F.trim("value"), r"^\s*\[\s*|\s*\]\s*$", "")
-    part = F.explode(F.split(body, r"(?<=\})\s*,?\s*\n\s*(?=\{)"))
-    flat = F.regexp_replace(part, r"[\r\n]+", " ")
-    rows = whole.select(flat.alias("raw")).select(
+    parts = whole.select(F.explode(F.split(body, r"(?<=\})\s*,?\s*\n\s*(?=\{)")).alias("part"))
+    rows = parts.select(F.regexp_replace("part", r"[\r\n]+", " ").alias("raw")).select(
         F.from_json("raw", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")
     )
     return rows.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).select("r.*").drop("_broken")
