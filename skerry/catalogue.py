@@ -674,6 +674,39 @@ def constraint_violations(spark, sf_dir):
     return tables.violations(rows, known)
 
 
+_ONES, _TENS, _SCALES = (f"string_split('{w}', ' ')" for w in (C.ONES, C.TENS, C.SCALES))
+_GROUP = f"""concat_ws(' ', CASE WHEN n >= 100 THEN {_ONES}[n // 100 + 1] || ' hundred' END,
+  CASE WHEN n % 100 >= 20 THEN {_TENS}[n % 100 // 10 - 1] WHEN n % 100 > 0 THEN {_ONES}[n % 100 + 1] END,
+  CASE WHEN n % 100 >= 20 AND n % 10 > 0 THEN {_ONES}[n % 10 + 1] END, CASE WHEN g < 7 THEN {_SCALES}[g] END)"""
+
+
+@query(f"""
+WITH p AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+|[^0-9]+')) AS p,
+         generate_subscripts(regexp_extract_all(text, '[0-9]+|[^0-9]+'), 1) AS k
+  FROM documents WHERE regexp_matches(text, '[0-9]')),
+d AS (SELECT DISTINCT p FROM p WHERE regexp_matches(p, '^[0-9]') AND length(p) <= 21),
+n AS (
+  SELECT p, g, CAST(substr(lpad(p, 21, '0'), 3 * g - 2, 3) AS INT) AS n FROM d, (SELECT unnest(range(1, 8)) AS g)),
+w AS (SELECT p, coalesce(string_agg({_GROUP}, ' ' ORDER BY g) FILTER (n > 0), 'zero') AS said FROM n GROUP BY p)
+SELECT doc_id, string_agg(coalesce(said, CASE WHEN regexp_matches(p.p, '^[0-9]') THEN
+         array_to_string(list_transform(string_split(p.p, ''), lambda c: {_ONES}[CAST(c AS INT) + 1]), ' ') ELSE p.p END),
+       '' ORDER BY k) AS said
+FROM p LEFT JOIN w ON w.p = p.p GROUP BY doc_id
+""")
+def digits_to_words(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
+    return docs.select("doc_id", C.digits_to_words(F.col("text")).alias("said"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN props END AS payload FROM events")
+def cloud_event_decode(spark, sf_dir):
+    data = F.when(F.col("event_id") % 7 != 0, F.base64(F.encode("props", "UTF-8")))
+    body = F.to_json(F.struct(F.struct(F.struct(data.alias("data")).alias("message")).alias("data")))
+    envelopes = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    return envelopes.select("event_id", C.cloud_event_payload(F.col("body")).alias("payload"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

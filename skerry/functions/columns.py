@@ -108,3 +108,62 @@ def normalise(text: Column) -> Column:
         t = F.replace(t, F.lit(short), F.lit(whole))
     t = F.regexp_replace(t, r"[!-/:-@\[-`{-~]", "")
     return F.trim(F.regexp_replace(t, r"[ \t\n\r\f\x0B]+", " "))
+
+
+# English number words.
+ONES = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
+    "seventeen eighteen nineteen"
+)
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety"
+SCALES = "quintillion quadrillion trillion billion million thousand"
+#: Digits of the longest number that is read as a whole.
+SPELLED = 21
+
+
+def _three(n: Column) -> Column:
+    """Words of 1 to 999; empty for 0."""
+    ones, tens = F.split(F.lit(ONES), " "), F.split(F.lit(TENS), " ")
+    hundred, rest = F.floor(n / 100).cast("int"), F.pmod(n, F.lit(100))
+    low = F.when(rest < 20, F.when(rest > 0, F.get(ones, rest))).otherwise(
+        F.concat_ws(
+            " ",
+            F.get(tens, F.floor(rest / 10).cast("int") - 2),
+            F.when(F.pmod(rest, F.lit(10)) > 0, F.get(ones, F.pmod(rest, F.lit(10)))),
+        )
+    )
+    return F.concat_ws(" ", F.when(hundred > 0, F.concat(F.get(ones, hundred), F.lit(" hundred"))), low)
+
+
+def _spelled(digits: Column) -> Column:
+    padded, scales = F.lpad(digits, SPELLED, "0"), F.split(F.lit(SCALES), " ")
+
+    def group(i: Column) -> Column:
+        n = F.substr(padded, i * 3 + 1, F.lit(3)).cast("int")
+        return F.when(n > 0, F.concat_ws(" ", _three(n), F.get(scales, i)))
+
+    groups = F.transform(F.sequence(F.lit(0), F.lit(SPELLED // 3 - 1)), group)
+    return F.array_join(groups, " ")
+
+
+def digits_to_words(text: Column) -> Column:
+    """Every run of digits as English words without hyphens, commas and "and"; null stays null.
+
+    Leading zeros don't count.  A run of more than ``SPELLED`` digits is read digit by digit.
+    """
+
+    def piece(p: Column) -> Column:
+        each = F.transform(F.regexp_extract_all(p, F.lit("[0-9]"), 0), lambda d: F.get(F.split(F.lit(ONES), " "), d.cast("int")))
+        return (
+            F.when(~p.rlike("^[0-9]"), p)
+            .when(F.length(p) > SPELLED, F.array_join(each, " "))
+            .when(p.rlike("^0+$"), F.lit("zero"))
+            .otherwise(_spelled(p))
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[0-9]+|[^0-9]+"), 0), piece), "")
+
+
+def cloud_event_payload(body: Column) -> Column:
+    """The text inside a push envelope, ``data.message.data`` in base64; null without data or if it can't be read."""
+    return F.try_to_binary(F.get_json_object(body, "$.data.message.data"), F.lit("base64")).cast("string")

@@ -87,3 +87,17 @@ def candidate_paths(prefixes: DataFrame, prefix: str, first_day: str, last_day:
         F.col(prefix), F.lit("/"), F.date_format("day", "yyyyMMdd"), F.lit("_"), F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(".mp3")
     )
     return grid.withColumn("path", name)
+
+
+def folder_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(name, is_dir, size) from listings in JSON, arrays of objects; entries of another type are left out.
+
+    The size of a folder, or one that isn't a number, is null.
+    """
+    rows = spark.read.schema("filename string, filetype string, filesize string").json(path, multiLine=True)
+    is_dir = F.col("filetype") == "dir"
+    return rows.where(F.col("filetype").isin("dir", "file")).select(
+        F.col("filename").alias("name"),
+        is_dir.alias("is_dir"),
+        F.when(~is_dir, F.expr("try_cast(filesize AS long)")).alias("size"),
+    )

@@ -196,3 +196,38 @@ def test_dedup_stream(spark, tmp_path):
     )
     assert q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("alerts").collect())) == [("a", 0), ("a", 12), ("b", 1)]
+
+
+def test_digits_are_spelled(spark):
+    from pyspark.sql import functions as F
+
+    from skerry.functions.columns import digits_to_words
+
+    said = {
+        "unit 007 at 0": "unit seven at zero",
+        "123 main": "one hundred twenty three main",
+        "1000001": "one million one",
+        "x90y115": "xninetyyone hundred fifteen",
+        "": "",
+        "1" * 22: " ".join(["one"] * 22),
+        None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", digits_to_words(F.col("t")).alias("w"))
+    assert {r.t: r.w for r in rows.collect()} == said
+
+
+def test_envelopes_and_listings(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from skerry.functions.columns import cloud_event_payload
+    from skerry.sources.files import folder_listing
+
+    bodies = ['{"data": {"message": {"data": "aGk="}}}', '{"data": {"message": {}}}', "{}", "no json", None]
+    rows = spark.createDataFrame([(b,) for b in bodies], "b string").select(cloud_event_payload(F.col("b")).alias("p"))
+    assert [r.p for r in rows.collect()] == ["hi", None, None, None, None]
+    (tmp_path / "a.json").write_text(
+        '[{"filename": "x", "filetype": "dir", "filesize": "0"}, {"filename": "y", "filetype": "file", "filesize": "12"},'
+        ' {"filename": "z", "filetype": "link", "filesize": "1"}]'
+    )
+    found = folder_listing(spark, str(tmp_path)).orderBy("name").collect()
+    assert [tuple(r) for r in found] == [("x", True, None), ("y", False, 12)]
