@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from skerry.config import LeaseConfig, StitchConfig
 from skerry.functions import columns as C
-from skerry.operators import streams, tables, words
+from skerry.operators import nested, streams, tables, words
 from skerry.operators.tables import Rule
-from skerry.sources import files
+from skerry.sources import files, remote
 
 NOW = "2024-06-01 00:00:00"
 HOUR = 3_600_000
@@ -887,6 +887,77 @@ def cloud_event_decode(spark, sf_dir):
     return envelopes.select("event_id", C.cloud_event_payload(F.col("body")).alias("payload"))
 
 
+# nested data, samples and urls
+
+
+@query(
+    """SELECT conv_id, string_agg(turn || ':' || said, '|' ORDER BY turn) AS segments FROM (
+        SELECT u.conv_id, u.turn, trim(a.text) AS said FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+        WHERE u.role = 'user' AND a.role <> 'user' AND trim(coalesce(a.text, '')) <> '') GROUP BY conv_id"""
+)
+def region_text_join(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    user = F.col("role") == "user"
+    entry = F.struct(
+        F.when(user, F.col("turn") + 1).otherwise(F.col("turn")).alias("id"),
+        F.when(user, F.lit("labels")).otherwise(F.lit("textarea")).alias("type"),
+        F.when(user, F.col("turn")).alias("start"),
+        F.when(user, F.col("turn") + 1).alias("end"),
+        F.when(~user, F.array(F.coalesce("text", F.lit("")))).alias("texts"),
+    )
+    tasks = turns.groupBy("conv_id").agg(F.collect_list(entry).alias("result"))
+    tasks = tasks.select(F.col("conv_id").cast("string").alias("audio"), F.array(F.struct("result")).alias("annotations"))
+    said = F.transform(
+        F.array_sort("segments"), lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["text"])
+    )
+    return nested.region_segments(tasks, "audio", "annotations").select(
+        F.col("audio_path").cast("long").alias("conv_id"), F.array_join(said, "|").alias("segments")
+    )
+
+
+@query(
+    """SELECT c_custkey, o_orderkey, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer JOIN (
+        SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey"""
+)
+def last_wins_join(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    last = nested.last_wins(orders.withColumn("at", F.col("o_orderkey")), "o_custkey", "at")
+    out = table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"))
+    return out.select("c_custkey", "o_orderkey", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+
+
+@query(
+    """SELECT 'gs://b/' || l_orderkey || '/' || l_linenumber AS uri, CAST(l_linenumber % 3 AS INT) AS code, l_returnflag AS message
+       FROM lineitem WHERE l_linenumber % 3 <> 0"""
+)
+def failed_batch_results(spark, sf_dir):
+    uri = F.concat_ws("/", F.lit("gs:/"), F.lit("b"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    answer = F.struct((F.col("l_linenumber") % 3).cast("int").alias("code"), F.col("l_returnflag").alias("message"))
+    results = table(spark, sf_dir, "lineitem").select(F.create_map(uri, answer).alias("results"))
+    return nested.failed_results(results, "results")
+
+
+@query(
+    """SELECT user_id, string_agg(event_type || '=' || ms, ',' ORDER BY event_type) AS entries FROM (
+        SELECT user_id, event_type, max(epoch_us(ts) // 1000) AS ms FROM events GROUP BY user_id, event_type) GROUP BY user_id"""
+)
+def offset_maps(spark, sf_dir):
+    found = nested.maps_by(_events(spark, sf_dir), "user_id", "event_type", "ms")
+    said = F.transform(F.map_entries("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.select("user_id", F.array_join(said, ",").alias("entries"))
+
+
+@query("SELECT event_id FROM events ORDER BY md5('11:' || event_id), event_id LIMIT 500")
+def sampled_streams(spark, sf_dir):
+    return nested.sampled(table(spark, sf_dir, "events").select("event_id"), "event_id", 500, 11)
+
+
+@query("SELECT doc_id, replace(url_encode(text), '%2F', '/') AS quoted FROM documents WHERE text IS NOT NULL")
+def url_quoting(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", remote.url_quoted(F.col("text")).alias("quoted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

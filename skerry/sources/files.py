@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -101,3 +101,45 @@ def folder_listing(spark: SparkSession, path: str) -> DataFrame:
         is_dir.alias("is_dir"),
         F.when(~is_dir, F.expr("try_cast(filesize AS long)")).alias("size"),
     )
+
+
+def object_sizes(spark: SparkSession, paths: DataFrame, root: str) -> DataFrame:
+    """``paths`` (column ``path``, below ``root``) with ``size`` in bytes, null for what isn't there.
+
+    One listing of the folder instead of a request per path; no contents are read.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    own = F.regexp_replace("path", r"^[A-Za-z0-9]+:(//[^/]*)?", "")
+    sizes = there.select(F.substring(own, len(base) + 2, 1 << 20).alias("path"), F.col("length").alias("size"))
+    return paths.join(sizes, "path", "left")
+
+
+def _inside(text: Column) -> Column:
+    """What stands between the first parenthesis of a text and the one that closes it; null if none does."""
+    marks = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)).isin("(", ")"))
+    depth = F.aggregate(
+        marks,
+        F.struct(F.lit(0).alias("open"), F.lit(0).alias("end")),
+        lambda s, i: F.struct(
+            (s["open"] + F.when(F.substr(text, i, F.lit(1)) == "(", 1).otherwise(-1)).alias("open"),
+            F.when(
+                (s["end"] == 0) & (s["open"] == 1) & (F.substr(text, i, F.lit(1)) == ")"), i
+            ).otherwise(s["end"]).alias("end"),
+        ),
+    )
+    return F.when(depth["end"] > 0, F.substr(text, F.lit(2), depth["end"] - 2))
+
+
+def filename_prefixes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, filename_template), each once: templates of the file outputs in a radio configuration's devices.
+
+    Templates that end in ``_tones`` are left out, so is a file whose devices section isn't closed.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    devices = F.regexp_extract("value", r"(?s)devices:[^(]*(\(.*)", 1)
+    body = whole.select("file", _inside(devices).alias("body")).where("body IS NOT NULL")
+    outputs = F.regexp_extract_all("body", F.lit(r'type = "file"[^\n]*\n[^}]*?filename_template\s*=\s*"([^"]+)"'), 1)
+    found = body.select("file", F.explode(outputs).alias("filename_template"))
+    return found.where(~F.col("filename_template").endswith("_tones")).distinct()
