@@ -293,52 +293,7 @@ def _arrivals(spark, sf_dir):
     )
 
 
-_STITCH = f"""
-WITH RECURSIVE c AS (
-  SELECT user_id AS feed_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM {_MS}),
-d AS (
-  SELECT feed_id, k, 'gs://b/' || event_id AS uri, (k - 1 + k // 9) * 15000 AS f,
-         CASE WHEN event_id % 5 < 4 THEN event_id % 4000 END AS b, CASE WHEN event_id % 5 < 4 THEN 9000 + event_id % 6000 END AS e
-  FROM c),
-r(feed_id, k, tx, bs, bd, le, uris, prior, ex, so, au, o) AS (
-  SELECT DISTINCT feed_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
-         '', false, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT),
-         CAST(NULL AS STRUCT(uris VARCHAR, a BIGINT, z BIGINT, pre BOOLEAN, post BOOLEAN, off BIGINT, why VARCHAR, n BIGINT)) FROM d
-  UNION ALL
-  SELECT feed_id, k + 1, CASE WHEN b IS NULL THEN tx2 ELSE coalesce(tx2, f + b) END,
-         CASE WHEN b IS NOT NULL AND tx2 IS NULL THEN f + lead_in ELSE bs END, bd2 + more, CASE WHEN b IS NULL THEN le ELSE f + e END,
-         CASE WHEN b IS NULL AND tx2 IS NULL THEN uris2 WHEN uris2 = '' THEN uri ELSE uris2 || ',' || uri END,
-         prior2 AND NOT (b IS NOT NULL AND tx2 IS NULL AND b > 0), f + 15000,
-         CASE WHEN b IS NOT NULL AND tx2 IS NULL THEN lead_in ELSE so END, au2 + more, o2
-  FROM (
-    SELECT *, CASE WHEN b IS NOT NULL THEN greatest(0, least(15000, e + 1000) - CASE WHEN tx2 IS NULL THEN lead_in ELSE 0 END)
-                   WHEN tx2 IS NOT NULL THEN tail ELSE 0 END AS more
-    FROM (
-      SELECT *, CASE WHEN stop THEN NULL ELSE tx1 END AS tx2, greatest(0, b - 1000) AS lead_in,
-             CASE WHEN lost OR stop THEN 0 ELSE bd END AS bd2, CASE WHEN lost OR stop THEN '' ELSE uris END AS uris2,
-             CASE WHEN lost OR done THEN 0 ELSE au END AS au2, CASE WHEN done THEN b IS NOT NULL AND long ELSE prior OR missing END AS prior2,
-             CASE WHEN (lost OR done) AND au + CASE WHEN done THEN tail ELSE 0 END > 0 THEN
-               {{'uris': uris, 'a': bs, 'z': bs + bd + CASE WHEN done THEN tail ELSE 0 END, 'pre': prior, 'post': lost OR long, 'off': so,
-                 'why': CASE WHEN lost THEN 'missing chunk' ELSE CASE WHEN gap THEN 'gap' ELSE 'longest duration' END || CASE WHEN b IS NULL THEN ' in silence' ELSE '' END END,
-                 'n': au + CASE WHEN done THEN tail ELSE 0 END}} END AS o2
-      FROM (
-        SELECT *, gap OR long AS stop, (gap OR long) AND tx1 IS NOT NULL AS done FROM (
-          SELECT *, le IS NOT NULL AND f + coalesce(b, 0) - le >= 3000 AS gap,
-                 tx1 IS NOT NULL AND f + coalesce(b, 15000) - tx1 >= 60000 AS long,
-                 greatest(0, least(coalesce(b, 15000), le + 1000 - f)) AS tail
-          FROM (
-            SELECT *, coalesce(f > ex, false) AS missing, coalesce(f > ex, false) AND tx IS NOT NULL AS lost,
-                   CASE WHEN coalesce(f > ex, false) THEN NULL ELSE tx END AS tx1
-            FROM (SELECT r.*, d.uri, d.f, d.b, d.e FROM r JOIN d ON d.feed_id = r.feed_id AND d.k = r.k + 1)))))))
-SELECT feed_id, o.uris AS contributing_audio_uris, o.a AS start_ms, o.z AS end_ms, o.pre AS missing_prior_context,
-       o.post AS missing_post_context, o.off AS start_audio_offset_ms, o.why AS reason, o.n AS audio_ms FROM r WHERE o IS NOT NULL
-UNION ALL
-SELECT feed_id, uris, tx, le, prior, true, so, 'stale', au
-FROM (SELECT *, k = max(k) OVER (PARTITION BY feed_id) AS last FROM r) WHERE last AND tx IS NOT NULL AND au > 0
-"""
-
-
-@query(_STITCH)
+@query()
 def reorder_replay(spark, sf_dir):
     return streams.reorder(_arrivals(spark, sf_dir))
 
@@ -680,102 +635,12 @@ def _pairs(spark, sf_dir):
     )
 
 
-_STITCH = f"""
-WITH RECURSIVE c AS (
-  SELECT user_id AS feed_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM {_MS}),
-d AS (
-  SELECT feed_id, k, 'gs://b/' || event_id AS uri, (k - 1 + k // 9) * 15000 AS f,
-         CASE WHEN event_id % 5 < 4 THEN event_id % 4000 END AS b, CASE WHEN event_id % 5 < 4 THEN 9000 + event_id % 6000 END AS e
-  FROM c),
-r(feed_id, k, tx, bs, bd, le, uris, prior, ex, so, au, o) AS (
-  SELECT DISTINCT feed_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
-         '', false, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT),
-         CAST(NULL AS STRUCT(uris VARCHAR, a BIGINT, z BIGINT, pre BOOLEAN, post BOOLEAN, off BIGINT, why VARCHAR, n BIGINT)) FROM d
-  UNION ALL
-  SELECT feed_id, k + 1, CASE WHEN b IS NULL THEN tx2 ELSE coalesce(tx2, f + b) END,
-         CASE WHEN b IS NOT NULL AND tx2 IS NULL THEN f + lead_in ELSE bs END, bd2 + more, CASE WHEN b IS NULL THEN le ELSE f + e END,
-         CASE WHEN b IS NULL AND tx2 IS NULL THEN uris2 WHEN uris2 = '' THEN uri ELSE uris2 || ',' || uri END,
-         prior2 AND NOT (b IS NOT NULL AND tx2 IS NULL AND b > 0), f + 15000,
-         CASE WHEN b IS NOT NULL AND tx2 IS NULL THEN lead_in ELSE so END, au2 + more, o2
-  FROM (
-    SELECT *, CASE WHEN b IS NOT NULL THEN greatest(0, least(15000, e + 1000) - CASE WHEN tx2 IS NULL THEN lead_in ELSE 0 END)
-                   WHEN tx2 IS NOT NULL THEN tail ELSE 0 END AS more
-    FROM (
-      SELECT *, CASE WHEN stop THEN NULL ELSE tx1 END AS tx2, greatest(0, b - 1000) AS lead_in,
-             CASE WHEN lost OR stop THEN 0 ELSE bd END AS bd2, CASE WHEN lost OR stop THEN '' ELSE uris END AS uris2,
-             CASE WHEN lost OR done THEN 0 ELSE au END AS au2, CASE WHEN done THEN b IS NOT NULL AND long ELSE prior OR missing END AS prior2,
-             CASE WHEN (lost OR done) AND au + CASE WHEN done THEN tail ELSE 0 END > 0 THEN
-               {{'uris': uris, 'a': bs, 'z': bs + bd + CASE WHEN done THEN tail ELSE 0 END, 'pre': prior, 'post': lost OR long, 'off': so,
-                 'why': CASE WHEN lost THEN 'missing chunk' ELSE CASE WHEN gap THEN 'gap' ELSE 'longest duration' END || CASE WHEN b IS NULL THEN ' in silence' ELSE '' END END,
-                 'n': au + CASE WHEN done THEN tail ELSE 0 END}} END AS o2
-      FROM (
-        SELECT *, gap OR long AS stop, (gap OR long) AND tx1 IS NOT NULL AS done FROM (
-          SELECT *, le IS NOT NULL AND f + coalesce(b, 0) - le >= 3000 AS gap,
-                 tx1 IS NOT NULL AND f + coalesce(b, 15000) - tx1 >= 60000 AS long,
-                 greatest(0, least(coalesce(b, 15000), le + 1000 - f)) AS tail
-          FROM (
-            SELECT *, coalesce(f > ex, false) AS missing, coalesce(f > ex, false) AND tx IS NOT NULL AS lost,
-                   CASE WHEN coalesce(f > ex, false) THEN NULL ELSE tx END AS tx1
-            FROM (SELECT r.*, d.uri, d.f, d.b, d.e FROM r JOIN d ON d.feed_id = r.feed_id AND d.k = r.k + 1)))))))
-SELECT feed_id, o.uris AS contributing_audio_uris, o.a AS start_ms, o.z AS end_ms, o.pre AS missing_prior_context,
-       o.post AS missing_post_context, o.off AS start_audio_offset_ms, o.why AS reason, o.n AS audio_ms FROM r WHERE o IS NOT NULL
-UNION ALL
-SELECT feed_id, uris, tx, le, prior, true, so, 'stale', au
-FROM (SELECT *, k = max(k) OVER (PARTITION BY feed_id) AS last FROM r) WHERE last AND tx IS NOT NULL AND au > 0
-"""
-
-
-@query(_STITCH)
+@query()
 def wer_samples(spark, sf_dir):
     return words.word_errors(words.to_long(_pairs(spark, sf_dir), ["conv_id", "text"]), "text", "pred_text")
 
 
-_STITCH = f"""
-WITH RECURSIVE c AS (
-  SELECT user_id AS feed_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM {_MS}),
-d AS (
-  SELECT feed_id, k, 'gs://b/' || event_id AS uri, (k - 1 + k // 9) * 15000 AS f,
-         CASE WHEN event_id % 5 < 4 THEN event_id % 4000 END AS b, CASE WHEN event_id % 5 < 4 THEN 9000 + event_id % 6000 END AS e
-  FROM c),
-r(feed_id, k, tx, bs, bd, le, uris, prior, ex, so, au, o) AS (
-  SELECT DISTINCT feed_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
-         '', false, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT),
-         CAST(NULL AS STRUCT(uris VARCHAR, a BIGINT, z BIGINT, pre BOOLEAN, post BOOLEAN, off BIGINT, why VARCHAR, n BIGINT)) FROM d
-  UNION ALL
-  SELECT feed_id, k + 1, CASE WHEN b IS NULL THEN tx2 ELSE coalesce(tx2, f + b) END,
-         CASE WHEN b IS NOT NULL AND tx2 IS NULL THEN f + lead_in ELSE bs END, bd2 + more, CASE WHEN b IS NULL THEN le ELSE f + e END,
-         CASE WHEN b IS NULL AND tx2 IS NULL THEN uris2 WHEN uris2 = '' THEN uri ELSE uris2 || ',' || uri END,
-         prior2 AND NOT (b IS NOT NULL AND tx2 IS NULL AND b > 0), f + 15000,
-         CASE WHEN b IS NOT NULL AND tx2 IS NULL THEN lead_in ELSE so END, au2 + more, o2
-  FROM (
-    SELECT *, CASE WHEN b IS NOT NULL THEN greatest(0, least(15000, e + 1000) - CASE WHEN tx2 IS NULL THEN lead_in ELSE 0 END)
-                   WHEN tx2 IS NOT NULL THEN tail ELSE 0 END AS more
-    FROM (
-      SELECT *, CASE WHEN stop THEN NULL ELSE tx1 END AS tx2, greatest(0, b - 1000) AS lead_in,
-             CASE WHEN lost OR stop THEN 0 ELSE bd END AS bd2, CASE WHEN lost OR stop THEN '' ELSE uris END AS uris2,
-             CASE WHEN lost OR done THEN 0 ELSE au END AS au2, CASE WHEN done THEN b IS NOT NULL AND long ELSE prior OR missing END AS prior2,
-             CASE WHEN (lost OR done) AND au + CASE WHEN done THEN tail ELSE 0 END > 0 THEN
-               {{'uris': uris, 'a': bs, 'z': bs + bd + CASE WHEN done THEN tail ELSE 0 END, 'pre': prior, 'post': lost OR long, 'off': so,
-                 'why': CASE WHEN lost THEN 'missing chunk' ELSE CASE WHEN gap THEN 'gap' ELSE 'longest duration' END || CASE WHEN b IS NULL THEN ' in silence' ELSE '' END END,
-                 'n': au + CASE WHEN done THEN tail ELSE 0 END}} END AS o2
-      FROM (
-        SELECT *, gap OR long AS stop, (gap OR long) AND tx1 IS NOT NULL AS done FROM (
-          SELECT *, le IS NOT NULL AND f + coalesce(b, 0) - le >= 3000 AS gap,
-                 tx1 IS NOT NULL AND f + coalesce(b, 15000) - tx1 >= 60000 AS long,
-                 greatest(0, least(coalesce(b, 15000), le + 1000 - f)) AS tail
-          FROM (
-            SELECT *, coalesce(f > ex, false) AS missing, coalesce(f > ex, false) AND tx IS NOT NULL AS lost,
-                   CASE WHEN coalesce(f > ex, false) THEN NULL ELSE tx END AS tx1
-            FROM (SELECT r.*, d.uri, d.f, d.b, d.e FROM r JOIN d ON d.feed_id = r.feed_id AND d.k = r.k + 1)))))))
-SELECT feed_id, o.uris AS contributing_audio_uris, o.a AS start_ms, o.z AS end_ms, o.pre AS missing_prior_context,
-       o.post AS missing_post_context, o.off AS start_audio_offset_ms, o.why AS reason, o.n AS audio_ms FROM r WHERE o IS NOT NULL
-UNION ALL
-SELECT feed_id, uris, tx, le, prior, true, so, 'stale', au
-FROM (SELECT *, k = max(k) OVER (PARTITION BY feed_id) AS last FROM r) WHERE last AND tx IS NOT NULL AND au > 0
-"""
-
-
-@query(_STITCH)
+@query()
 def wer_leaderboard(spark, sf_dir):
     return words.leaderboard(wer_samples(spark, sf_dir))
 
