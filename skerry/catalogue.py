@@ -627,20 +627,54 @@ def text_normalise(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("turn IN (0, 1)")
-    return turns.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("text"),
-        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("pred_text_reply"),
-        F.max(F.when(F.col("turn") == 0, F.substring_index("text", " ", 12))).alias("pred_text_head"),
-    )
+    """Every turn with two predictions of it: the turn after it, and its own words but the short ones."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred_text_reply"))
+    short = F.regexp_replace("text", "(^| )[a-z]{1,3}( |$)", " ")
+    return turns.withColumn("pred_text_long", short).join(after, ["conv_id", "turn"])
+
+
+# costs and counts of an alignment in one number: cost, hits, substitutions, deletions, insertions
+_HIT, _SUB, _DEL, _INS = 1 << 36, (1 << 48) + (1 << 24), (1 << 48) + (1 << 12), (1 << 48) + 1
+_WORDS = "list_filter(string_split({t}, ' '), lambda w: w <> '')"
+_ERRORS = f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, max(text) AS text FROM conversations GROUP BY conv_id, turn),
+q AS (
+  SELECT conv_id, turn, t.text, unnest(['long', 'reply']) AS model,
+         unnest([regexp_replace(t.text, '(^| )[a-z]{{1,3}}( |$)', ' ', 'g'), a.text]) AS said
+  FROM t JOIN (SELECT conv_id, turn - 1 AS turn, text FROM t) a USING (conv_id, turn)),
+m AS (
+  SELECT conv_id, turn, model, {_NORMAL.format(t="coalesce(text, '')")} AS text, {_NORMAL.format(t="coalesce(said, '')")} AS said FROM q),
+p AS (SELECT conv_id, turn, model, {_WORDS.format(t="text")} AS a, {_WORDS.format(t="said")} AS b FROM m),
+r(conv_id, turn, model, a, b, i, costs) AS (
+  SELECT conv_id, turn, model, a, b, 0, list_transform(range(0, len(b) + 1), lambda j: j * {_INS}) FROM p
+  UNION ALL
+  SELECT conv_id, turn, model, a, b, i + 1,
+         list_reduce(list_prepend([costs[1] + {_DEL}], list_transform(range(1, len(b) + 1),
+             lambda j: [costs[j] + CASE WHEN a[i + 1] = b[j] THEN {_HIT} ELSE {_SUB} END, costs[j + 1] + {_DEL}])),
+           lambda done, x: list_append(done, CASE
+             WHEN (done[-1] + {_INS}) >> 48 < least(x[1] >> 48, x[2] >> 48) THEN done[-1] + {_INS}
+             WHEN x[2] >> 48 < x[1] >> 48 THEN x[2] ELSE x[1] END))
+  FROM r WHERE i < len(a)),
+e AS (
+  SELECT conv_id, turn, model, (costs[-1] >> 36) & 4095 AS hits, (costs[-1] >> 24) & 4095 AS substitutions,
+         (costs[-1] >> 12) & 4095 AS deletions, costs[-1] & 4095 AS insertions FROM r WHERE i = len(a))
+"""
+_RATE = "((substitutions + deletions + insertions) * 20000 + n) // (2 * nullif(n, 0)) / 100.0"
 
 
-@query()
+@query(_ERRORS + f"SELECT * EXCLUDE n, {_RATE} AS wer FROM (SELECT *, hits + substitutions + deletions AS n FROM e)")
 def wer_samples(spark, sf_dir):
-    return words.word_errors(words.to_long(_pairs(spark, sf_dir), ["conv_id", "text"]), "text", "pred_text")
+    return words.word_errors(words.to_long(_pairs(spark, sf_dir), ["conv_id", "turn", "text"]), "text", "pred_text")
 
 
-@query()
+@query(
+    _ERRORS
+    + f"""SELECT *, {_RATE} AS wer FROM (
+        SELECT model, CAST(sum(hits + substitutions + deletions) AS BIGINT) AS n_words, CAST(sum(substitutions) AS BIGINT) AS substitutions,
+               CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(insertions) AS BIGINT) AS insertions,
+               CAST(sum(hits + substitutions + deletions) AS BIGINT) AS n FROM e GROUP BY model)""".replace("SELECT *, ", "SELECT * EXCLUDE n, ", 1)
+)
 def wer_leaderboard(spark, sf_dir):
     return words.leaderboard(wer_samples(spark, sf_dir))
 
