@@ -293,7 +293,52 @@ def _arrivals(spark, sf_dir):
     )
 
 
-@query()
+_CHUNK = "STRUCT(ts BIGINT, uri VARCHAR)"
+# waiting chunks in order, each let out if it is near what is expected by then
+_DRAIN = f"""list_reduce(list_prepend({{{{'ex': {{ex}}, 'out': CAST([] AS {_CHUNK}[]), 'kept': CAST([] AS {_CHUNK}[])}}}},
+  list_transform(list_sort({{waiting}}), lambda w: {{{{'ex': w.ts, 'out': [w], 'kept': CAST([] AS {_CHUNK}[])}}}})),
+  lambda s, x: CASE WHEN abs(x.ex - s.ex) <= 500 THEN {{{{'ex': x.ex + 15000, 'out': list_concat(s.out, x.out), 'kept': s.kept}}}}
+                    ELSE {{{{'ex': s.ex, 'out': s.out, 'kept': list_concat(s.kept, x.out)}}}} END)"""
+_NAMED = "list_transform({chunks}, lambda w: {{'ts': w.ts, 'uri': w.uri, 'kind': '{kind}'}})"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS slot FROM {_MS}),
+a AS (
+  SELECT user_id AS feed_id, slot * 15000 AS ts, 'gs://b/' || event_id AS uri,
+         row_number() OVER (PARTITION BY user_id ORDER BY slot + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END, event_id) AS seq
+  FROM e),
+r(feed_id, seq, ex, waiting, due, o) AS (
+  SELECT DISTINCT feed_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS {_CHUNK}[]), CAST(NULL AS BIGINT),
+         CAST([] AS STRUCT(ts BIGINT, uri VARCHAR, kind VARCHAR)[]) FROM a
+  UNION ALL
+  SELECT feed_id, seq, ex3, waiting3, CASE WHEN len(waiting3) = 0 THEN NULL ELSE coalesce(due1, seq * 15000 + 15000) END,
+         list_concat(gap_out, CASE WHEN early THEN [] ELSE list_concat(
+           [{{'ts': ts, 'uri': uri, 'kind': CASE WHEN late THEN 'late' ELSE 'ordered' END}}],
+           CASE WHEN late THEN [] ELSE {_NAMED.format(chunks="next.out", kind="drained")} END) END)
+  FROM (
+    SELECT *, CASE WHEN early THEN list_append(waiting1, {{'ts': ts, 'uri': uri}}) WHEN late THEN waiting1 ELSE next.kept END AS waiting3,
+           CASE WHEN early OR late THEN ex2 ELSE next.ex END AS ex3
+    FROM (
+      SELECT *, ts - ex2 > 500 AS early, ts - ex2 < -500 AS late, {_DRAIN.format(ex="ts + 15000", waiting="waiting1")} AS next
+      FROM (
+        SELECT *, coalesce(ex1, ts) AS ex2 FROM (
+          SELECT *, CASE WHEN fired THEN NULL ELSE due END AS due1,
+                 CASE WHEN fired AND len(waiting) > 0 THEN first.ex ELSE ex END AS ex1,
+                 CASE WHEN fired THEN first.kept ELSE waiting END AS waiting1,
+                 CASE WHEN fired THEN {_NAMED.format(chunks="first.out", kind="gap")} ELSE [] END AS gap_out
+          FROM (
+            SELECT r.feed_id, a.seq, a.ts, a.uri, r.ex, r.waiting, r.due, coalesce(a.seq * 15000 >= r.due, false) AS fired,
+                   {_DRAIN.format(ex="coalesce(list_min(r.waiting).ts, 0)", waiting="r.waiting")} AS first
+            FROM r JOIN a ON a.feed_id = r.feed_id AND a.seq = r.seq + 1)))))),
+z AS (
+  SELECT feed_id, seq, o FROM r
+  UNION ALL
+  SELECT feed_id, seq + 1, {_NAMED.format(chunks=_DRAIN.format(ex="coalesce(list_min(waiting).ts, 0)", waiting="waiting") + ".out", kind="gap")}
+  FROM (SELECT *, seq = max(seq) OVER (PARTITION BY feed_id) AS last FROM r) WHERE last AND due IS NOT NULL)
+SELECT feed_id, c.ts AS event_ts_ms, c.uri AS gcs_uri, c.kind AS kind, row_number() OVER (PARTITION BY feed_id ORDER BY seq, i) - 1 AS place
+FROM (SELECT feed_id, seq, unnest(o) AS c, generate_subscripts(o, 1) AS i FROM z)
+""")
 def reorder_replay(spark, sf_dir):
     return streams.reorder(_arrivals(spark, sf_dir))
 
