@@ -725,16 +725,17 @@ def wer_leaderboard(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, CAST(list_reduce(list_prepend(0, list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: CASE WHEN a[i] IS NOT DISTINCT FROM b[i] THEN 0 ELSE 1 END)), lambda x, y: x + y) AS BIGINT) AS n_differences,
-       CAST(len(a) AS BIGINT) AS n_words FROM (SELECT conv_id, string_split(max(text) FILTER (turn = 0), ' ') AS a, string_split(max(text) FILTER (turn = 1), ' ') AS b FROM conversations WHERE turn IN (0, 1) GROUP BY conv_id)"""
+    """SELECT conv_id, turn, CAST(list_reduce(list_prepend(0, list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: CASE WHEN a[i] IS NOT DISTINCT FROM b[i] THEN 0 ELSE 1 END)), lambda x, y: x + y) AS BIGINT) AS n_differences,
+       CAST(len(a) AS BIGINT) AS n_words FROM (SELECT conv_id, turn, string_split(t.text, ' ') AS a, string_split(n.text, ' ') AS b FROM conversations t JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations) n USING (conv_id, turn))"""
 )
 def positional_differences(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).select(
-        "conv_id", F.split("text", " ").alias("a"), F.split("pred_text_reply", " ").alias("b")
+        "conv_id", "turn", F.split("text", " ").alias("a"), F.split("pred_text_reply", " ").alias("b")
     )
     differs = F.zip_with("a", "b", lambda x, y: (~x.eqNullSafe(y)).cast("long"))
     return pairs.select(
         "conv_id",
+        "turn",
         F.aggregate(differs, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_differences"),
         F.size("a").cast("long").alias("n_words"),
     )
