@@ -220,18 +220,27 @@ class GapMax:
 
 
 def align(reference: list[str], said: list[str]) -> tuple[int, int, int, int]:
-    """(hits, substitutions, deletions, insertions) of a least-cost word alignment."""
-    row = [(j, 0, 0, 0, j) for j in range(len(said) + 1)]  # cost, hits, substitutions, deletions, insertions
-    for i, r in enumerate(reference, 1):
-        fresh = [(i, 0, 0, i, 0)]
+    """(hits, substitutions, deletions, insertions) of a least-cost word alignment.
+
+    Of equal costs a pair of words goes before a deletion, and that before an insertion.  The counts of a cell are
+    one number in digits of base ``len(reference) + len(said) + 1``.
+    """
+    digit = len(reference) + len(said) + 1
+    hit, substitution, deletion, insertion = digit**3, digit**2, digit, 1
+    costs, counts = list(range(len(said) + 1)), list(range(len(said) + 1))
+    for r in reference:
+        above, above_n = costs[0], counts[0]
+        cost, n = above + 1, above_n + deletion
+        costs[0], counts[0] = cost, n
         for j, w in enumerate(said, 1):
-            c, h, s, d, n = row[j - 1]
-            best = (c, h + 1, s, d, n) if r == w else (c + 1, h, s + 1, d, n)
-            up, left = row[j], fresh[j - 1]
-            if up[0] + 1 < best[0]:
-                best = (up[0] + 1, up[1], up[2], up[3] + 1, up[4])
-            if left[0] + 1 < best[0]:
-                best = (left[0] + 1, left[1], left[2], left[3], left[4] + 1)
-            fresh.append(best)
-        row = fresh
-    return row[-1][1:]
+            left, left_n = cost, n
+            cost, n = (above, above_n + hit) if r == w else (above + 1, above_n + substitution)
+            above, above_n = costs[j], counts[j]
+            if above + 1 < cost:
+                cost, n = above + 1, above_n + deletion
+            if left + 1 < cost:
+                cost, n = left + 1, left_n + insertion
+            costs[j], counts[j] = cost, n
+    n, insertions = divmod(counts[-1], digit)
+    n, deletions = divmod(n, digit)
+    return (*divmod(n, digit), deletions, insertions)

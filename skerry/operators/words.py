@@ -39,7 +39,10 @@ def word_errors(rows: DataFrame, reference: str, said: str) -> DataFrame:
         normalise(F.coalesce(said, F.lit(""))).alias("_said"),
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[: len(carry)])
-    counted = picked.mapInPandas(
+    # work grows with the square of the words, not with bytes: spread rows over all partitions
+    spark = rows.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = picked.repartition(n, *carry).mapInPandas(
         _count, f"{schema}, hits long, substitutions long, deletions long, insertions long"
     )
     return counted.withColumn("wer", rate())
