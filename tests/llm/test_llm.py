@@ -261,6 +261,30 @@ def test_pages(spark):
     assert m.align("0html 1body 2div 3p 3p", "0html 1body 2nav 2div 3p") == [0, 1, 3, 4, -1]
 
 
+def test_pages_of_copies_and_of_small_hosts(spark):
+    page = "<body><div><p>{a}</p><p>{b}</p></div><p>Printed on paper</p>{c}</body>"
+    text = lambda i: f"Nothing but the text {i * 7919} of page {i * 104729}"
+    rows = [(i, "http://same.example/x", page.format(a="One", b="Two and three", c="")) for i in range(40)]
+    rows += [(100 + i, None, "<p>Said again and again") for i in range(25)]
+    # 25 copies alone reach the third paragraph of the longest page, 40 more are different
+    deep = page.format(a=text(999), b="B", c="<p>Deep</p>" * 2)
+    rows += [(200 + i, "http://deep.example/x", deep) for i in range(25)]
+    rows += [(300 + i, "http://deep.example/x", page.format(a=text(i), b=text(-i), c="")) for i in range(40)]
+    # a small host whose last page differs in its template
+    rows += [(400 + i, "http://small.example/x", page.format(a=text(i), b=text(-i), c="")) for i in range(12)]
+    rows += [(499, "http://small.example/x", page.format(a="x", b="y", c="").replace("on paper", "in gold"))]
+    # versions of one page
+    rows += [(500 + i, "http://edited.example/x", page.format(a="long " * 50, b=f"version {i}", c="")) for i in range(30)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(40)} == {"One\nTwo and three\nPrinted on paper"}
+    assert {got[100 + i] for i in range(25)} == {"Said again and again"}
+    assert all(text(999) in got[200 + i] and "B" in got[200 + i].split("\n") for i in range(25))
+    assert all(got[300 + i] == f"{text(i)}\n{text(-i)}" for i in range(40))
+    assert all(got[400 + i] == f"{text(i)}\n{text(-i)}" for i in range(12))
+    assert "Printed in gold" in got[499]
+    assert all(got[500 + i].startswith("long long") and f"version {i}" in got[500 + i] for i in range(30))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
