@@ -129,19 +129,19 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             part = 0
         held = turns.slice(first[-2])
-        if held.nbytes > PART_BYTES:
+        open_id = ids[-1]
+        if held.nbytes > PART_BYTES and held.num_rows > 1:
+            # the newest turn stays, so that the part that ends the conversation has a turn
+            done, held = held.slice(0, held.num_rows - 1), held.slice(held.num_rows - 1)
             yield _rows(
-                [ids[-1]],
+                [open_id],
                 [part],
                 [False],
-                held.column("role").combine_chunks(),
-                held.column("text").combine_chunks(),
-                np.array([0, held.num_rows]),
+                done.column("role").combine_chunks(),
+                done.column("text").combine_chunks(),
+                np.array([0, done.num_rows]),
             )
-            held, part = held.slice(held.num_rows), part + 1
-            open_id = ids[-1]
-        else:
-            open_id = ids[-1]
+            part += 1
     if held is not None:
         yield _rows(
             [open_id],
@@ -159,7 +159,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Rows are ordered by turn inside their conversation (null turns first, ties by role and text); null role or
     text counts as empty; turns without ``conv_id`` form one conversation whose id is null.  One row per
     conversation; a conversation beyond ``PART_BYTES`` goes on in further parts, so no task holds more than a
-    part.  Extra columns are not carried.  An empty table gives no rows.
+    part, a batch and a turn; the part that ends it has ``last`` set.  Extra columns are not carried.  An empty table gives no rows.
     """
     cols = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),

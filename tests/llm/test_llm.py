@@ -140,6 +140,28 @@ def test_chat(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(3, 3), (3, 2, 4), (1, 1, 1), (2, 4)])
+def test_chat_conversations_in_parts(monkeypatch, sizes):
+    monkeypatch.setattr(chat, "PART_BYTES", 40)
+    turns = [(7, "assistant", f"text {i} " * 9) for i in range(3)]
+    turns += [(8, "user", "ok"), (8, "assistant", "so"), (9, "assistant", "long " * 40)]
+    batches, at = [], 0
+    for n in sizes:
+        part = list(zip(*turns[at : at + n], strict=True))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["conv_id", "role", "text"]))
+        at += n
+    seen = {}
+    for conv, role, text in turns[:at]:
+        seen[conv] = seen.get(conv, "") + f"{role}\n{text}\n"
+    parts = [r for b in chat._format(iter(batches)) for r in b.to_pylist()]
+    got = {r["conv_id"]: r for b in chat._digest(chat._format(iter(batches))) for r in b.to_pylist()}
+    assert {c: r["turns_sha256"] for c, r in got.items()} == {c: hashlib.sha256(t.encode()).hexdigest() for c, t in seen.items()}
+    assert Counter(r["conv_id"] for r in parts if r["last"]) == Counter(seen.keys())
+    for c in seen:
+        assert [r["part"] for r in parts if r["conv_id"] == c] == list(range(sum(r["conv_id"] == c for r in parts)))
+    assert any(not r["last"] for r in parts)
+
+
 def _held_out(name, n):
     return lambda r: zlib.crc32(str(r.doc_id).encode()) % n == name
 
