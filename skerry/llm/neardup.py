@@ -5,9 +5,12 @@
    dyadic interval of the weight axis; a register keeps the earliest point it is given.  Two registers agree
    with the weighted Jaccard similarity as probability.
 3. Signatures are cut into bands; texts that share a band are candidates.  Band stars are joined to candidate
-   clusters, large clusters are dealt out in pairs of blocks.
-4. Inside a block pair the exact multiset overlap of all its texts is computed; overlaps of 0.8 or more are
-   links; the classes are the components of all links.
+   clusters.
+4. Clusters are dealt out in blocks.  Inside a block the exact multiset overlap of all its texts is computed;
+   overlaps of 0.8 or more are links.  Texts that have no lesser text linked to them are dealt out again, until
+   they fill one block or hardly get fewer.
+5. What a cluster has outside its largest class is then compared with the whole cluster, in pairs of blocks; two
+   texts of the largest class need no further link.  The classes are the components of all links.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import words
@@ -30,6 +33,8 @@ BANDS, PER_BAND = 30, 6
 REGISTERS = BANDS * PER_BAND
 #: A block of a cluster: so many texts or words at most, about.
 BLOCK_TEXTS, BLOCK_WORDS = 512, 2_000_000
+#: Blocks are dealt out again as long as this share of their texts at most is left.
+LEFT = 0.75
 #: Rows up to which the candidates' ids are broadcast instead of shuffling every text.
 BROADCAST_ROWS = 1_000_000
 
@@ -208,6 +213,78 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+def _blocks(own: Column) -> Column:
+    """The blocks that the texts with ``own`` fill."""
+    texts, size = F.count_if(own), F.sum(F.when(own, F.col("n_words")))
+    filled = F.greatest(F.ceil(texts / F.lit(BLOCK_TEXTS)), F.ceil(size / F.lit(BLOCK_WORDS)), F.lit(1))
+    return filled.cast("int")
+
+
+def _links(columns: DataFrame, wanted: DataFrame, groups: Column) -> DataFrame:
+    """Links inside each group.  ``wanted`` has one row a text; its groups are listed where the text is."""
+    wanted = wanted.where(F.col("doc_id").isNotNull())
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return cut(
+        columns.join(wanted, "doc_id")
+        .select(F.explode(groups).alias("group"), "key", "text")
+        .repartition("group")
+        .sortWithinPartitions("group", "key")
+        .mapInArrow(_verify, "a binary, b binary"),
+        "links",
+    )
+
+
+def _all_links(columns: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links whose components are those of all links inside the clusters."""
+    left, n, turn, links = candidates, None, 0, None
+    large = None
+    while True:
+        sizes = left.groupBy("cluster").agg(_blocks(F.lit(True)).alias("blocks"))
+        own = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).cast("int")
+        dealt = cut(left.join(sizes, "cluster").withColumn("own", own), "dealt")
+        found = _links(columns, dealt, F.array(F.xxhash64("cluster", "own")))
+        links = found if links is None else links.unionByName(found)
+        rest = dealt.where("blocks > 1").drop("blocks", "own")
+        if not rest.head(1):
+            break
+        large = rest if large is None else large
+        rest = rest.join(found.select(F.col("a").alias("key")).distinct(), "key", "left_anti")
+        left, turn = cut(rest.select(candidates.columns), "left"), turn + 1
+        before, n = n, left.count()
+        if not n or n > LEFT * (large.count() if before is None else before):
+            break
+    if large is None:
+        return links
+
+    large = cut(large, "large")
+    roots = connected(links.join(large.select(F.col("key").alias("a")), "a", "left_semi"))
+    named = large.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn(
+        "root", F.coalesce("root", "key")
+    )
+    classes = named.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = classes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("k"))
+    named = cut(
+        named.join(most.where("k > 1"), "cluster").withColumn("main", F.col("root") == F.col("most")), "named"
+    )
+    if not named.head(1):
+        return links
+    sizes = named.groupBy("cluster").agg(_blocks(F.col("main")).alias("mains"), _blocks(~F.col("main")).alias("rests"))
+    dealt = named.join(sizes, "cluster").withColumn(
+        "own", F.pmod(F.xxhash64("key"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    )
+    mains, rests = F.sequence(F.lit(0), F.col("mains") - 1), F.sequence(F.lit(0), F.col("rests") - 1)
+    groups = F.when(
+        F.col("main"), F.transform(rests, lambda i: F.xxhash64("cluster", F.lit("main"), i, "own"))
+    ).otherwise(
+        F.concat(
+            F.transform(mains, lambda i: F.xxhash64("cluster", F.lit("main"), "own", i)),
+            F.transform(rests, lambda i: F.xxhash64("cluster", F.lit("rest"), F.least("own", i), F.greatest("own", i))),
+        )
+    )
+    return links.unionByName(_links(columns, dealt.select("doc_id", "key", "cluster", "main", "mains", "rests", "own"), groups))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (the least doc_id of its class) and ``n_docs`` of the class.
 
@@ -240,34 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "candidates",
     )
 
-    blocks = F.greatest(
-        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS)), F.lit(1)
-    )
-    sizes = candidates.groupBy("cluster").agg(blocks.cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = (
-        candidates.join(sizes, "cluster")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "doc_id",
-            "key",
-            F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-        )
-    )
-    wanted = dealt.where(F.col("doc_id").isNotNull())
-    if candidates.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    links = cut(
-        columns.join(wanted, "doc_id")
-        .select("group", "key", "text")
-        .repartition("group")
-        .sortWithinPartitions("group", "key")
-        .mapInArrow(_verify, "a binary, b binary"),
-        "links",
-    )
-
-    roots = connected(links)
+    roots = connected(_all_links(columns, candidates))
     named = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "key", "doc_id", "n", F.coalesce("root", "key").alias("root")
     )

@@ -234,6 +234,34 @@ def test_near_duplicates_against_all_pairs(spark, odd, empty):
     assert sorted(r.doc_id for r in neardup.keep_one(odd).collect() if r.doc_id is not None) == [0, 2, 3, 4, 6, 7, 8]
 
 
+def test_large_clusters_in_blocks(spark, monkeypatch):
+    """Near copies, chains of links and texts that are only candidates, in clusters of many blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 4)
+    sides = []
+    broadcast = F.broadcast
+    monkeypatch.setattr(neardup.F, "broadcast", lambda df: sides.append(df) or broadcast(df))
+    texts = []
+    for base in range(2):
+        words_ = [f"b{base}w{i}" for i in range(100)]
+        change = lambda at, x: " ".join(f"{w}{x}" if i in at else w for i, w in enumerate(words_))  # noqa: B023, E731
+        texts += [change({99 - i % 3}, f"x{i}") for i in range(40)]  # near copies
+        for k in range(2, 19, 2):  # a chain away from them, each linked to its neighbours only
+            texts.append(change(set(range(5, 5 * k + 1, 5)), "y"))
+        texts += [change(set(range(7 + i, 94, 20 + i)), f"z{i}") for i in range(8)]
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = (sets[i] & sets[j]).total()
+            if 5 * common >= 4 * (sets[i].total() + sets[j].total() - common):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert 4 < len(set(label)) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == dict(enumerate(label))
+    assert sides and all(side.count() <= len(texts) for side in sides)  # one row a text
+
+
 def test_signatures_estimate_weighted_similarity():
     a = np.arange(300, dtype=np.uint64)
     x, y = np.repeat(a[:200], 3), np.concatenate((np.repeat(a[:150], 3), np.repeat(a[150:250], 2)))
