@@ -70,8 +70,8 @@ def _cut_texts(path: str, capacity: int, end_id: int):
         step = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.encode_all([text.as_py()], path, end_id)[0]
+            found = tokens.encode_all(batch.column(1), path, end_id)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for column, value in zip(

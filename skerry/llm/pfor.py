@@ -182,8 +182,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.encode_all([text.as_py()], tokenizer, end_id)[0]
+            found = tokens.encode_all(batch.column(1), tokenizer, end_id)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 doc_ids.append(doc_id)
                 held.append(ids)
                 size += len(ids) // 4

@@ -80,9 +80,42 @@ def test_rules(spark, odd, empty):
 
 def test_tokens_are_the_librarys():
     enc = tokens.ChunkEncoder(remembered=3)
-    for t in ["Hello, World!!", "l'été's 12ä x", "a\x1cb", LONG[:5000], "<|endoftext|> ok", "ÀÉ,ß… „Ja“", "it's they'll", ""]:
-        assert enc.encode(t) == enc.whole(t)
+    for t in (
+        "Hello, World!!", "l'été's 12ä x", "a\x1cb", LONG[:5000], "<|endoftext|> ok", "x<|endoftext|>y <|ENDOFTEXT|>",
+        "ÀÉ,ß… „Ja“", "it's they'll 'Tis I'VE!!'s", "", " \n ", "a×b ÷ 3²½ ǅ İ ſ", "a\x85b\xa0c\u3000d", "\x0ba\x0cb", "日本語 テキスト",
+    ):
+        assert enc.encode(t) == enc.whole(t), t
     assert enc.encode(None) == b""
+    draw = random.Random(1)
+    for _ in range(500):
+        texts = ["".join(draw.choice("ab'sStE1!<|>é\n \t\x0b\x1c\xa0“’ßİ中") for _ in range(draw.randint(0, 12))) for _ in range(3)]
+        assert enc.encode_all(pa.array(texts)) == [enc.whole(t) for t in texts]
+
+
+def test_every_id_is_the_librarys(spark):
+    """op4 and op6 over a whole table, against one plain call of the library for each document."""
+    library = tokens.Tokenizer.from_file(tokens.DEFAULT_FILE)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    crc = lambda part: zlib.crc32(np.array(part, "<u4").tobytes())
+    pieces = {
+        (d, k, at, len(x := [*own, 0][at : at + 2048]), crc(x))
+        for d, own in ids.items()
+        for k, at in enumerate(range(0, len(own) + 1, 2048))
+    }
+    rows = queries.op4_best_fit(spark, DATA).collect()
+    assert len(rows) == len(pieces)
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == pieces
+    filled = Counter()
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 2048 and len(filled) < 1.1 * sum(filled.values()) / 2048 + 1
+    start, expected = 0, set()
+    for d in sorted(ids):
+        expected.add((d, start, len(ids[d]) + 1, crc([*ids[d], 1])))
+        start += len(ids[d]) + 1
+    assert {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op6_pfor(spark, DATA).collect()} == expected
 
 
 def test_packing(odd, empty):
