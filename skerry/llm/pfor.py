@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import tokens
-from skerry.llm.storage import cut, new_path
+from skerry.llm.storage import cut, new_path, uri
 
 MAGIC = b"PFOR0001"
 BLOCK = 1024
@@ -205,10 +205,7 @@ def write_ids(
     name and renamed; a task that runs again replaces them by the same bytes.
     """
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "pfor")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder.removeprefix("file:")
+    folder = uri(folder or new_path(spark, "pfor"))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
     tie = F.xxhash64("text")
