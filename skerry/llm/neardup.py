@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import words
 from skerry.llm.graph import connected
-from skerry.llm.storage import cut, fresh
+from skerry.llm.storage import cut, fresh, scratch
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a fraction
@@ -103,36 +102,27 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 FINGERPRINT = "doc_id long, key binary, n_words long, bands array<long>"
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, key, text)."""
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column(2)
         for a, b in words.slices(texts):
-            part = texts.slice(a, b - a)
-            data, bounds = words.buffers(part)
+            data, bounds = words.buffers(texts.slice(a, b - a))
             hashes, first = words.hash_words(data, bounds)
             shingle, owner = words.shingles(hashes[0], first, SHINGLE)
             signature = signatures(shingle, owner, b - a)
             some = np.isfinite(signature[:, 0])
             bands = np.where(some[:, None], band_hashes(signature), 0)
-            raw = data.tobytes()
-            keys = [
-                hashlib.blake2b(raw[s:e], digest_size=16).digest()
-                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-            ]
             lists = pa.ListArray.from_arrays(
                 pa.array(np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)), pa.array(bands[some].ravel(), pa.int64())
             )
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(a, b - a),
-                    pa.array(keys, pa.binary()),
-                    pa.array(np.diff(first), pa.int64()),
-                    lists,
-                ],
+                [*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(first), pa.int64()), lists],
                 names=["doc_id", "key", "n_words", "bands"],
             )
 
@@ -202,8 +192,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a += x
                     b += y
                 group, keys, texts = g, [], []
-            # an id may stand for several texts, and a text for several rows
-            if (not keys or keys[-1] != key) and _digest(text or "") == key:
+            if not keys or keys[-1] != key:  # the row that stands for a text may be repeated
                 keys.append(key)
                 texts.append(text or "")
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -221,13 +210,18 @@ def _blocks(own: Column) -> Column:
 
 
 def _links(columns: DataFrame, wanted: DataFrame, groups: Column) -> DataFrame:
-    """Links inside each group.  ``wanted`` has one row a text; its groups are listed where the text is."""
-    wanted = wanted.where(F.col("doc_id").isNotNull())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    """Links inside each group.  ``wanted`` has one row a text with the id of one of its documents (perhaps null)
+    and ``rows``, how many rows with that id it has; its groups are listed where the text is.
+    """
+    small = wanted.count() <= BROADCAST_ROWS
+    side = wanted.withColumnRenamed("key", "_key").withColumnRenamed("doc_id", "_id")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    found = columns.join(F.broadcast(side) if small else side, same).drop("doc_id", "_key", "_id")
+    if wanted.where("rows > 1").head(1):  # one row of each, put together before they are shuffled
+        once = found.where("rows > 1").dropDuplicates(["key"])
+        found = found.where("rows = 1").unionByName(once)
     return cut(
-        columns.join(wanted, "doc_id")
-        .select(F.explode(groups).alias("group"), "key", "text")
+        found.select(F.explode(groups).alias("group"), "key", "text")
         .repartition("group")
         .sortWithinPartitions("group", "key")
         .mapInArrow(_verify, "a binary, b binary"),
@@ -282,7 +276,49 @@ def _all_links(columns: DataFrame, candidates: DataFrame) -> DataFrame:
             F.transform(rests, lambda i: F.xxhash64("cluster", F.lit("rest"), F.least("own", i), F.greatest("own", i))),
         )
     )
-    return links.unionByName(_links(columns, dealt.select("doc_id", "key", "cluster", "main", "mains", "rests", "own"), groups))
+    return links.unionByName(_links(columns, dealt.select("doc_id", "rows", "key", "cluster", "main", "mains", "rests", "own"), groups))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row a document: ``doc_id``, ``key``; one row a text: ``key``, ``root`` of its class, least ``doc_id``
+    and how many ``rows`` have both, ``n`` of all its rows).
+    """
+    columns = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_key(F.col("text").cast("string")).alias("key"),
+        F.col("text").cast("string").alias("text"),
+    )
+    spark = docs.sparkSession
+    with scratch(spark):
+        prints = cut(columns.mapInArrow(_fingerprint, FINGERPRINT), "prints", keep=True)
+        first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")
+        texts = (
+            prints.groupBy("key", "doc_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words"))
+            .groupBy("key")
+            .agg(F.min(first).alias("first"), F.sum("n").alias("n"), F.max("n_words").alias("n_words"))
+            .select("key", "first.doc_id", F.col("first.n").alias("rows"), "n", "n_words")
+        )
+        bands = (
+            prints.where(F.size("bands") > 0)
+            .select("key", "bands")
+            .dropDuplicates(["key"])
+            .select("key", F.explode("bands").alias("band"))
+        )
+        bands = cut(bands, "bands")
+        hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        # always by sort and merge: bands are not small, and a crowded band is a skewed join that Spark splits
+        stars = bands.join(hubs.hint("merge"), "band").where(F.col("key") != F.col("hub")).select(
+            F.col("key").alias("a"), F.col("hub").alias("b")
+        )
+        texts = cut(texts, "texts")
+        candidates = cut(
+            connected(stars).select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(texts, "key"),
+            "candidates",
+        )
+        roots = connected(_all_links(columns, candidates)).select(F.col("node").alias("key"), "root")
+        named = texts.drop("n_words").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        return prints.select("doc_id", "key"), cut(named, "roots", keep=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -290,58 +326,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Two texts are linked if the multiset Jaccard similarity of their five-word shingles is 0.8 or more and they
     share a band (missed with probability 1e-4 at 0.8, less above).  Texts of fewer than five words are one
-    shingle; null, empty and wordless texts are linked to equal ones only (null counts as empty).  Repeated rows are
-    one class.  A class whose ids are all null has the class id null and
-    is linked to equal texts only.  Extra columns are not read.
+    shingle; null, empty and wordless texts are linked to equal ones only (null counts as empty).  Texts are told
+    apart by a digest, not by their ids: a null id or one that several texts share loses no link.  Repeated rows
+    are one class; a class whose ids are all null has the class id null.  Very long texts are compared whole.
+    Extra columns are not read.
     """
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(columns.mapInArrow(_fingerprint, FINGERPRINT), "prints")
-    classes = prints.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")
-    )
-
-    bands = (
-        prints.where(F.size("bands") > 0)
-        .select("key", "bands")
-        .dropDuplicates(["key"])
-        .select("key", F.explode("bands").alias("band"))
-    )
-    bands = cut(bands, "bands")
-    hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # always by sort and merge: bands are not small, and a crowded band is a skewed join that Spark splits
-    stars = bands.join(hubs.hint("merge"), "band").where(F.col("key") != F.col("hub")).select(
-        F.col("key").alias("a"), F.col("hub").alias("b")
-    )
-    candidates = cut(
-        connected(stars).select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(classes, "key"),
-        "candidates",
-    )
-
-    roots = connected(_all_links(columns, candidates))
-    named = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
-        "key", "doc_id", "n", F.coalesce("root", "key").alias("root")
-    )
-    named = cut(named, "roots")
+    rows, named = _classes(docs)
     whole = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_docs"))
     by_key = named.join(whole, "root").select("key", "class_id", "n_docs")
-    return prints.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id", "n_docs")
+    return rows.join(by_key, "key").select("doc_id", "class_id", "n_docs")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least ``doc_id``, with the columns it came with.
-
-    If ids repeat, one row for an id that stays.  A class without any id keeps one row.
+    """One document of each class, with the columns it came with: the one with the least ``doc_id`` (null last; of
+    several texts with that id, the one with the least digest; of repeated rows, any).
     """
-    found = cut(near_duplicates(docs), "classes")
-    other = fresh(docs, "_other")
-    rows, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if rows == ids:  # the few that go are smaller than those that stay
-        gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(other))
-        side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-        kept = docs.where(F.col("doc_id").isNotNull()).join(side, F.col("doc_id") == F.col(other), "left_anti")
-    else:
-        stay = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(other)).distinct()
-        kept = docs.join(stay, F.col("doc_id") == F.col(other), "left_semi").dropDuplicates(["doc_id"])
-    if found.where(F.col("class_id").isNull()).head(1):
-        return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
-    return kept
+    rows, named = _classes(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")
+    best = named.groupBy("root").agg(F.min(order).alias("best")).select("best.*")
+    id_, key = fresh(docs, "_id"), fresh(docs, "_key")
+    best = cut(best.select(F.col("doc_id").alias(id_), F.col("key").alias(key), "rows"), "best")
+    at = [F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), text_key(F.col("text").cast("string")) == F.col(key)]
+    # rows that go are fewer than those that stay
+    gone = rows.select(F.col("doc_id").alias(id_), F.col("key").alias(key)).join(
+        best.select(F.col(id_).alias("_a"), F.col(key).alias("_b")),
+        F.col(id_).eqNullSafe(F.col("_a")) & (F.col(key) == F.col("_b")),
+        "left_anti",
+    )
+    gone = cut(gone.distinct(), "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, at, "left_anti")
+    again = best.where("rows > 1").drop("rows")
+    if not again.head(1):
+        return kept
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    once = kept.join(again, at, "left_semi").withColumn(key, text_key(F.col("text").cast("string")))
+    once = once.dropDuplicates(["doc_id", key]).select(*docs.columns)
+    return kept.join(again, at, "left_anti").unionByName(once)
