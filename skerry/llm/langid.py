@@ -14,14 +14,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import words
+from skerry.llm.storage import fresh
 
 ORDER = 4
 #: Training texts of a language, about; each goes in whole.
 TEXTS_PER_LANGUAGE = 600
+#: Bytes of the training texts of a language and of all languages, about, and of the longest training text.
+LANGUAGE_BYTES, SAMPLE_BYTES, TEXT_BYTES = 4 << 20, 64 << 20, 1 << 20
 SLOTS = 1 << 19
 
 
@@ -124,15 +127,27 @@ class Scorer:
 
 def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
     """Trees from at most about ``per_language`` texts of each language of ``docs`` (``text`` and non-null
-    ``lang``), picked by a hash; statistics stay frozen afterwards.
+    ``lang``), picked by a hash until they have ``LANGUAGE_BYTES`` (or their share of ``SAMPLE_BYTES``); texts
+    beyond ``TEXT_BYTES`` are not learned from.  Statistics stay frozen afterwards.  No such text, no language.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= TEXT_BYTES))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    sample = known.where(draw < share).select("lang", "text").toPandas()
+    before = F.sum(F.octet_length("text")).over(
+        Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    most = min(LANGUAGE_BYTES, SAMPLE_BYTES // max(1, len(counts)))
+    sample = (
+        known.where(draw < share)
+        .select("lang", "text", draw.alias("draw"))
+        .withColumn("before", F.coalesce(before, F.lit(0)))
+        .where(F.col("before") < most)
+        .select("lang", "text")
+        .toPandas()
+    )
     languages = sorted(counts)
     trees = []
     for lang in languages:
@@ -169,10 +184,11 @@ def _predict(shared):
 def predict(docs: DataFrame, model: Model, *carry: Column) -> DataFrame:
     """``carry`` columns with ``lang_pred`` and ``score`` (its posterior probability) of each whole ``text``.
 
-    ``und`` with score 0 for null texts, texts without a letter, or an empty model.  Texts are scored in slices
-    of about a megabyte; a longer text is a slice of its own.
+    ``und`` with score 0 for null texts, texts without a letter, or an empty model.  Texts are scored whole, in
+    slices of about a megabyte; a longer text is a slice of its own.  Ties go to the first language by name.
+    Repeated rows score alike; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    picked = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    picked = docs.select(*carry, F.col("text").cast("string").alias(fresh(docs, "_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double")
