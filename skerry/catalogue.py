@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from skerry.config import LeaseConfig, StitchConfig
 from skerry.functions import columns as C
-from skerry.operators import nested, streams, tables, words
+from skerry.functions import signal
+from skerry.operators import nested, rules, streams, tables, words
 from skerry.operators.tables import Rule
 from skerry.sources import files, remote
 
@@ -52,6 +53,8 @@ _DECISIONS = (
     "concat_ws(',', CASE WHEN " + _regex("the|and") + " THEN 'articles' END, CASE WHEN " + _regex("und|der")
     + " THEN 'german' END, CASE WHEN " + _regex("fire|burn|evacuation|spreading") + " THEN 'basic_fire_terms' END)"
 )
+# not blank: anything but white space
+_SAYS = r"regexp_matches({t}, '[^\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]')"
 _TEXTS = "(SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 
 
@@ -64,7 +67,7 @@ def rule_eval_regex(spark, sf_dir):
 @query(
     """SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'ung') THEN 'any' END,
        CASE WHEN contains(text, 'The') THEN 'case' END) AS decisions
-       FROM conversations WHERE trim(text) <> '' AND (contains(lower(text), 'the') OR contains(lower(text), 'ung'))"""
+       FROM conversations WHERE text IS NOT NULL AND (contains(lower(text), 'the') OR contains(lower(text), 'ung'))"""
 )
 def rule_eval_keyword_any(spark, sf_dir):
     rules = [
@@ -78,7 +81,8 @@ def rule_eval_keyword_any(spark, sf_dir):
 
 @query(
     """SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(t), 'the') AND contains(lower(t), 'and') AND contains(lower(t), 'was') THEN 'all' END, 'empty') AS decisions
-       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE trim(t) <> ''"""
+       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE """
+    + _SAYS.format(t="t")
 )
 def rule_eval_keyword_all(spark, sf_dir):
     rules = [Rule("all", "keyword", ("the", "and", "was"), "ALL"), Rule("empty", "keyword", (), "ALL")]
@@ -117,7 +121,7 @@ def rule_hits_summary(spark, sf_dir):
 
 @query(
     """SELECT conv_id, turn, coalesce(CAST(nullif(turn, 0) AS VARCHAR), 'unset') AS start_ms, coalesce(CASE WHEN role = 'user' THEN turn END, 0) AS offset_ms
-       FROM conversations WHERE trim(coalesce(text, '')) <> '' AND contains(lower(text), 'the')"""
+       FROM conversations WHERE contains(lower(text), 'the')"""
 )
 def notify_projection(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
@@ -132,7 +136,7 @@ def notify_projection(spark, sf_dir):
 
 # messages
 
-_CHECKED = """SELECT event_id, user_id, CASE WHEN k IS NULL THEN 'missing k' WHEN k < 10 THEN 'k too small'
+_CHECKED = """SELECT event_id, user_id, event_type, props, CASE WHEN k IS NULL THEN 'missing k' WHEN k < 10 THEN 'k too small'
   WHEN value IS NULL OR value < 5 THEN 'value too small' END AS error
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
 
@@ -155,15 +159,19 @@ def parse_dlq_split(spark, sf_dir):
 
 
 @query(
-    f"""SELECT coalesce(CAST(user_id AS VARCHAR), 'unknown') AS feed_id, error, 'pipeline_failure' AS error_type, 'parse' AS stage FROM ({_CHECKED}) WHERE error IS NOT NULL
-        UNION ALL SELECT coalesce(CAST(user_id AS VARCHAR), 'unknown'), 'no purchase value', 'pipeline_failure', 'value' FROM events WHERE event_type = 'purchase' AND value < 1"""
+    f"""SELECT coalesce(CAST(user_id AS VARCHAR), 'unknown') AS feed_id, error, 'pipeline_failure' AS error_type, 'parse' AS stage,
+               CAST(event_id AS VARCHAR) AS event_id, event_type, props FROM ({_CHECKED}) WHERE error IS NOT NULL
+        UNION ALL SELECT coalesce(CAST(user_id AS VARCHAR), 'unknown'), 'no purchase value', 'pipeline_failure', 'value',
+               CAST(event_id AS VARCHAR), event_type, props FROM events WHERE event_type = 'purchase' AND value < 1"""
 )
 def dlq_union(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     broken = (F.col("event_type") == "purchase") & (F.col("value") < 1)
     second = tables.with_error(events, [(broken, "no purchase value")])
     one = tables.dead_letters(_checked(spark, sf_dir), F.col("user_id"), "parse")
-    return one.unionByName(tables.dead_letters(second, F.col("user_id"), "value")).drop("body")
+    both = one.unionByName(tables.dead_letters(second, F.col("user_id"), "value"))
+    inside = [F.get_json_object("body", f"$.{c}").alias(c) for c in ("event_id", "event_type", "props")]
+    return both.select("*", *inside).drop("body")
 
 
 @query("SELECT event_id, epoch_us(ts) // 1000 AS event_ts_ms, (epoch_us(ts) // 1000) // 15000 * 15000 AS chunk_ms FROM events")
@@ -188,14 +196,8 @@ def _events(spark, sf_dir):
         row_number() OVER w - 1 AS n, min(ms) OVER (PARTITION BY user_id) AS a FROM {_MS} WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))"""
 )
 def chunk_timeline(spark, sf_dir):
-    w = Window.partitionBy("user_id")
-    n = F.row_number().over(w.orderBy("ms", "event_id")) - 1
-    return _events(spark, sf_dir).select(
-        "user_id",
-        "event_id",
-        n.cast("long").alias("n"),
-        (F.min("ms").over(w) + n * 15000).cast("long").alias("chunk_start_ms"),
-    )
+    rows = streams.chunk_starts(_events(spark, sf_dir), "user_id", "ms", ["ms", "event_id"], 15000)
+    return rows.select("user_id", "event_id", "n", "chunk_start_ms")
 
 
 @query(
@@ -271,7 +273,7 @@ def ttl_dedup(spark, sf_dir):
 
 @query(f"SELECT user_id, event_type, min(ms) AS ms FROM {_MS} GROUP BY user_id, event_type")
 def watermark_dedup_ids(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("ms").alias("ms"))
+    return streams.first_of(_events(spark, sf_dir), ["user_id", "event_type"], "ms")
 
 
 def _arrivals(spark, sf_dir):
@@ -420,7 +422,7 @@ def _hot(spark, sf_dir):
         WHERE hot GROUP BY user_id, g"""
 )
 def runlength_intervals(spark, sf_dir):
-    return streams.run_intervals(_hot(spark, sf_dir), "user_id", "ms", "hot")
+    return streams.run_intervals(_hot(spark, sf_dir), "user_id", "ms", "hot", ("event_id",))
 
 
 @query(
@@ -456,10 +458,38 @@ def vector_rms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
         F.round(F.sqrt(total / F.size("embedding")), 5).alias("rms"),
-        (F.size(F.filter("embedding", lambda x: x >= F.lit(0.05).cast("float"))).cast("long") * 16).alias("speech_ms"),
+        C.frames_ms(F.col("embedding"), 0.05, 16).alias("speech_ms"),
     )
 
 
+@query("""
+WITH p AS (SELECT vec_id, list_transform(list_concat(list_concat(list_reverse(embedding[2:9]), embedding), list_reverse(embedding[len(embedding) - 8:len(embedding) - 1])),
+                  lambda v: CAST(v AS DOUBLE) * v) AS x FROM embeddings)
+SELECT vec_id, CAST(f AS INT) AS frame, round(sqrt(list_sum(x[f * 4 + 1:f * 4 + 16]) / 16), 6) AS rms
+FROM (SELECT vec_id, x, unnest(range(0, (len(x) - 16) // 4 + 1)) AS f FROM p)
+""")
+def framed_rms(spark, sf_dir):
+    frames = C.frame_rms(F.col("embedding"), 4, 16)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(frames).alias("frame", "rms"))
+    return rows.withColumn("rms", F.round("rms", 6))
+
+
+@query("""
+WITH p AS (SELECT vec_id, list_transform(list_concat(list_concat(list_transform(range(0, 8), lambda i: 0.0), list_transform(embedding, lambda v: CAST(v AS DOUBLE))),
+                  list_transform(range(0, 8 + (len(embedding) * 3) % 4), lambda i: 0.0)) , lambda v: v) AS x FROM embeddings),
+f AS (SELECT vec_id, unnest(range(0, (len(x) - 16) // 4 + 1)) AS f, x FROM p),
+s AS (
+  SELECT vec_id, f, list_transform(range(0, 9), lambda k: greatest(1e-10, (
+    pow(list_sum(list_transform(range(0, 16), lambda n: x[f * 4 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * k * n / 16))), 2)
+    + pow(list_sum(list_transform(range(0, 16), lambda n: x[f * 4 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * k * n / 16))), 2)) / 64)) AS spectrum
+  FROM f)
+SELECT vec_id, CAST(f AS INT) AS frame, round(exp(list_avg(list_transform(spectrum, lambda v: ln(v)))) / list_avg(spectrum), 5) AS flatness FROM s
+""")
+def vector_flatness(spark, sf_dir):
+    rows = signal.framed(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda x: signal.flatness(x, 16, 16, 4))
+    return rows.select("vec_id", "frame", F.round("value", 5).alias("flatness"))
+
+
 # leases
 
 _FEEDS = f"""(SELECT s_suppkey AS id, s_name AS name,
@@ -552,6 +582,47 @@ def fenced_progress(spark, sf_dir):
     return tables.fenced(own, asked)
 
 
+_ASKED = f"(SELECT id, 'w1' AS worker_id, id % 3 AS fencing_token, 'f' || id AS name FROM {_FEEDS} WHERE id % 3 <> 2)"
+_HELD = "a.id IS NOT NULL"
+
+
+def _asked(own):
+    asked = own.where("id % 3 <> 2").select(
+        "id", F.lit("w1").alias("worker_id"), (F.col("id") % 3).alias("fencing_token"),
+        F.concat(F.lit("f"), F.col("id").cast("string")).alias("last_processed_filename"),
+    )
+    return asked.unionByName(asked)  # a request that is sent twice
+
+
+@query(
+    f"""SELECT f.id, f.status, f.worker_id, f.fencing_token, CASE WHEN {_HELD} THEN a.name ELSE 'none' END AS last_processed_filename,
+        CASE WHEN {_HELD} THEN 0 ELSE failure_count END AS failure_count, {_HELD} AS updated
+        FROM {_FEEDS} f LEFT JOIN {_ASKED} a ON a.id = f.id AND a.worker_id = f.worker_id AND a.fencing_token = f.fencing_token"""
+)
+def fenced_progress_state(spark, sf_dir):
+    own = feeds(spark, sf_dir).withColumn("last_processed_filename", F.lit("none"))
+    out = tables.progress(own, _asked(own), _now())
+    return out.select("id", "status", "worker_id", "fencing_token", "last_processed_filename", "failure_count", "updated")
+
+
+@query(
+    f"""SELECT f.id, CASE WHEN {_HELD} THEN 'unclaimed' ELSE f.status END AS status, CASE WHEN {_HELD} THEN NULL ELSE f.worker_id END AS worker_id, {_HELD} AS updated
+        FROM {_FEEDS} f LEFT JOIN {_ASKED} a ON a.id = f.id AND a.worker_id = f.worker_id AND a.fencing_token = f.fencing_token"""
+)
+def fenced_release_state(spark, sf_dir):
+    own = feeds(spark, sf_dir)
+    return tables.fenced_release(own, _asked(own), _now()).select("id", "status", "worker_id", "updated")
+
+
+@query(
+    f"""SELECT count(*) AS n_rows, count(*) FILTER ({_HELD}) AS updated
+        FROM {_FEEDS} f LEFT JOIN {_ASKED} a ON a.id = f.id AND a.worker_id = f.worker_id AND a.fencing_token = f.fencing_token"""
+)
+def affected_rows(spark, sf_dir):
+    own = feeds(spark, sf_dir)
+    return tables.affected(tables.fenced_release(own, _asked(own), _now()))
+
+
 @query(f"SELECT id, 'unclaimed' AS status FROM {_FEEDS} WHERE status = 'active' AND worker_id = 'w2'")
 def release_batch(spark, sf_dir):
     return tables.release(feeds(spark, sf_dir), "w2").select("id", "status")
@@ -559,10 +630,7 @@ def release_batch(spark, sf_dir):
 
 @query(f"SELECT id FROM {_FEEDS} WHERE status = 'active' EXCEPT SELECT id FROM {_FEEDS} WHERE worker_id = 'w1' AND status = 'active'")
 def lost_leases(spark, sf_dir):
-    own = feeds(spark, sf_dir)
-    held = own.where("status = 'active'").select("id")
-    renewed = tables.heartbeats(own, held, "w1").where("renewed")
-    return held.join(renewed, "id", "left_anti")
+    return tables.lost(feeds(spark, sf_dir), "w1")
 
 
 # manifests
@@ -588,45 +656,50 @@ def tolerance_join_first(spark, sf_dir):
 
 
 @query(
-    """SELECT x.o_orderkey, x.o_orderstatus AS pred_text_a, y.o_orderpriority AS pred_text_b FROM orders x JOIN orders y ON x.o_orderkey = y.o_orderkey"""
+    """SELECT k, x.s AS status, pred_text_a, y.p AS pred_text_b FROM (
+         SELECT o_orderkey * 1000003 AS k, o_orderstatus AS s, o_clerk_ AS pred_text_a, row_number() OVER (ORDER BY o_orderkey) AS n FROM (SELECT *, o_custkey AS o_clerk_ FROM orders)) x
+       JOIN (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) y USING (n)"""
 )
 def positional_merge(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    a = streams.numbered(orders, "o_orderkey").select("number", "o_orderkey", F.col("o_orderstatus").alias("pred_text_a"))
-    b = streams.numbered(orders, "o_orderkey").select(
-        "number", F.col("o_orderkey").alias("_key"), F.col("o_orderpriority").alias("pred_text_b")
-    )
-    same = F.when(F.col("o_orderkey") == F.col("_key"), F.col("pred_text_a")).otherwise(
-        F.raise_error(F.lit("rows of the merged manifests differ"))
-    )
-    return a.join(b, "number").select("o_orderkey", same.alias("pred_text_a"), "pred_text_b")
+    orders = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey") * 1000003)
+    a = orders.select("k", F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("pred_text_a"))
+    b = orders.select("k", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("pred_text_b"))
+    return streams.merged_by_place(a, b, "k", ("status",))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def pending_antijoin(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    return tables.pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
+
+
+@query(
+    """SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM supplier s
+       WHERE contains('gs://b/x_' || s_suppkey * 37 || '.flac__seg000', o_orderkey || '.flac'))"""
+)
+def pending_names(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("gs://raw/"), F.col("o_orderkey").cast("string"), F.lit(".flac")).alias("path")
+    )
+    done = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("gs://b/x_"), (F.col("s_suppkey") * 37).cast("string"), F.lit(".flac__seg000")).alias("name")
+    )
+    return tables.pending_names(wanted, done, "path", "name", lambda n: C.ends_before(n, ".flac")).select("o_orderkey")
 
 
 @query("SELECT doc_id, coalesce(CAST(l.quality AS VARCHAR), '') AS prediction, l.doc_id IS NULL AS unmatched FROM documents d LEFT JOIN labels l USING (doc_id)")
 def lookup_default(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("_hit"))
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("prediction"),
-        F.col("_hit").isNull().alias("unmatched"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    found = tables.with_default(docs, table(spark, sf_dir, "labels"), "doc_id", "quality", F.lit(""))
+    return found.withColumnRenamed("quality", "prediction")
 
 
 @query(
     """SELECT doc_id, CAST(i - 1 AS INT) AS line_no, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
-       WHERE trim(lines[i]) <> ''"""
+       WHERE """
+    + _SAYS.format(t="lines[i]")
 )
 def explode_nested(spark, sf_dir):
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.trim("line") != "")
-    )
+    return tables.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(
@@ -647,16 +720,11 @@ def unpivot_long(spark, sf_dir):
        count(*) FILTER (event_type = 'view') AS "view" FROM events GROUP BY user_id"""
 )
 def pivot_wide(spark, sf_dir):
-    kinds = ["click", "purchase", "view"]
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy("user_id")
-        .agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in kinds])
-    )
+    return tables.pivot_counts(table(spark, sf_dir, "events"), "user_id", "event_type", ["click", "purchase", "view"])
 
 
 _NORMAL = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
-  regexp_replace(regexp_replace(regexp_replace(replace(lower(regexp_replace(regexp_replace({t}, '[<\[][^>\]]*[>\]]', '', 'g'), '_+', '', 'g')), '-', ' '),
+  regexp_replace(regexp_replace(regexp_replace(replace(lower(regexp_replace(regexp_replace(regexp_replace({t}, '<[^>]+>', '', 'g'), '\[[^\]]+\]', '', 'g'), '_+', '', 'g')), '-', ' '),
     '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(?:(?:uh|um|ah|er)(?:([^\p{{L}}\p{{M}}\p{{N}}_])(?:uh|um|ah|er))*)($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1 \3', 'g'),
     '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(uh|um|ah|er)($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1\3', 'g'),
     '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(uh|um|ah|er)($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1\3', 'g'),
@@ -766,45 +834,117 @@ def batch_of_15(spark, sf_dir):
        FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
 )
 def segment_ordinal(spark, sf_dir):
-    w = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    return (
-        lines.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-        .select("o_orderkey", "l_linenumber", F.lpad((F.row_number().over(w) - 1).cast("string"), 3, "0").alias("segment_id"))
-    )
+    both = lines.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    placed = streams.within_key(both, "o_orderkey", ["l_linenumber", "l_partkey", "l_extendedprice"])
+    return placed.select("o_orderkey", "l_linenumber", F.lpad(F.col("place").cast("string"), 3, "0").alias("segment_id"))
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_type IS NOT NULL AND p_retailprice > 0")
 def feed_selection(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(
-        (F.col("p_size") >= 10) & F.col("p_type").isNotNull() & (F.col("p_retailprice") > 0)
-    ).select("p_partkey", "p_size")
+    known = table(spark, sf_dir, "part").where(F.col("p_type").isNotNull())
+    positive = tables.large_enough(known, "p_retailprice", 0, strict=True)
+    return tables.large_enough(positive, "p_size", 10).select("p_partkey", "p_size")
 
 
 @query("SELECT count(*) AS checked, count(*) FILTER (l_quantity >= 25) AS found, count(*) FILTER (l_quantity < 25) AS failed FROM lineitem")
 def counters(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(
-        F.count(F.lit(1)).alias("checked"),
-        F.count_if(F.col("l_quantity") >= 25).alias("found"),
-        F.count_if(F.col("l_quantity") < 25).alias("failed"),
-    )
+    n = F.col("l_quantity")
+    return tables.tally(table(spark, sf_dir, "lineitem"), found=n >= 25, failed=n < 25)
+
 
+_NAMES = "CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN 'same' || s_suppkey % 3 ELSE s_name END"
 
-@query("SELECT n_nationkey AS id, 'unknown source type' AS rule FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3)")
+
+@query(
+    f"""WITH f AS (SELECT s_suppkey AS id, {_NAMES} AS name, s_nationkey AS source_type FROM supplier)
+        SELECT id, 'null name' AS rule FROM f WHERE name IS NULL
+        UNION ALL SELECT id, 'name not unique' FROM f WHERE name IN (SELECT name FROM f GROUP BY name HAVING count(*) > 1)
+        UNION ALL SELECT id, 'unknown source type' FROM f WHERE source_type NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"""
+)
 def constraint_violations(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("source_type")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.expr(_NAMES.replace("||", "||")).alias("name"), F.col("s_nationkey").alias("source_type")
     )
-    known = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("slug"))
+    known = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("slug"))
     return tables.violations(rows, known)
 
 
+# rule tables
+
+_KEYWORDS = "lower(substr(n_name, 1, 3))"
+
+
+def _stored_rules(spark, sf_dir):
+    """A rule a nation: its first letters anywhere in a text; some inactive, some for one feed, some broken."""
+    key, letters = F.col("n_nationkey"), F.lower(F.substring("n_name", 1, 3))
+    scope = F.struct(
+        F.when(key % 7 == 3, F.lit("FEED_SPECIFIC")).otherwise(F.lit("GLOBAL")).alias("level"),
+        F.when(key % 7 == 3, F.array(F.lit("de"))).alias("target_feeds"),
+    )
+    conditions = F.struct(
+        F.when(key % 6 == 5, F.lit("NONE")).otherwise(F.lit("KEYWORD_MATCH")).alias("evaluation_type"),
+        F.array(letters).alias("keywords"),
+    )
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("r"), F.lpad(key.cast("string"), 2, "0")).alias("rule_id"),
+        (key % 5 != 4).alias("is_active"),
+        F.to_json(scope).alias("scope"),
+        F.to_json(conditions).alias("conditions"),
+        F.lit(NOW).cast("timestamp").alias("updated_at"),
+    )
+
+
+@query(
+    f"""SELECT doc_id, string_agg(rule_id, ',' ORDER BY rule_id) AS decisions FROM documents JOIN (
+          SELECT 'r' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS rule_id, {_KEYWORDS} AS word, n_nationkey % 7 = 3 AS own
+          FROM nation WHERE n_nationkey % 5 <> 4 AND n_nationkey % 6 <> 5) r
+        ON contains(lower(text), word) AND (NOT own OR lang = 'de') GROUP BY doc_id"""
+)
+def rule_table_eval(spark, sf_dir):
+    known = rules.load(rules.parse(_stored_rules(spark, sf_dir)))
+    out = tables.flagged(tables.evaluate(table(spark, sf_dir, "documents"), known, feed="lang"))
+    return out.select("doc_id", F.array_join("decisions", ",").alias("decisions"))
+
+
+@query(
+    """SELECT 'r' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS rule_id, n_nationkey % 5 <> 4 AS is_active,
+       CASE WHEN n_nationkey % 6 = 5 THEN 'bad evaluation type' ELSE 'none' END AS error, lower(substr(n_name, 1, 3)) AS keywords,
+       CASE WHEN n_nationkey % 7 = 3 THEN 'FEED_SPECIFIC' ELSE 'GLOBAL' END AS level FROM nation"""
+)
+def rule_table_parse(spark, sf_dir):
+    parsed = rules.listed(rules.parse(_stored_rules(spark, sf_dir)))
+    return parsed.select(
+        "rule_id", "is_active", F.coalesce("error", F.lit("none")).alias("error"), F.array_join("keywords", ",").alias("keywords"), "level"
+    )
+
+
+@query(
+    f"""SELECT rule_id, CASE WHEN k % 4 = 0 THEN false ELSE is_active END AS is_active,
+       CASE WHEN k % 4 = 0 THEN TIMESTAMP '{NOW}' + INTERVAL 1 HOUR ELSE TIMESTAMP '{NOW}' END AS updated_at FROM (
+         SELECT 'r' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS rule_id, n_nationkey AS k, n_nationkey % 5 <> 4 AS is_active FROM nation WHERE n_nationkey % 8 <> 1
+         UNION ALL SELECT 's' || r_regionkey, 1, true FROM region)"""
+)
+def rule_table_changes(spark, sf_dir):
+    stored = _stored_rules(spark, sf_dir)
+    key = F.substring("rule_id", 2, 2).cast("int")
+    new = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("rule_id"), F.lit(True).alias("is_active"),
+        F.lit("{}").alias("scope"), F.lit("{}").alias("conditions"), F.lit(NOW).cast("timestamp").alias("updated_at"),
+    )
+    changes = stored.where(key % 4 == 0).select("rule_id", F.lit(False).alias("is_active"), F.lit(None).cast("string").alias("scope"))
+    after = rules.update(stored, changes, F.lit(NOW).cast("timestamp") + F.expr("INTERVAL 1 HOUR"))
+    after = rules.delete(after, stored.where(key % 8 == 1).select("rule_id"))
+    return rules.create(rules.create(after, new), stored.where(key % 8 != 1)).select("rule_id", "is_active", "updated_at")
+
+
 _ONES, _TENS, _SCALES = (f"string_split('{w}', ' ')" for w in (C.ONES, C.TENS, C.SCALES))
 _GROUP = f"""concat_ws(' ', CASE WHEN n >= 100 THEN {_ONES}[n // 100 + 1] || ' hundred' END,
   CASE WHEN n % 100 >= 20 THEN {_TENS}[n % 100 // 10 - 1] WHEN n % 100 > 0 THEN {_ONES}[n % 100 + 1] END,
   CASE WHEN n % 100 >= 20 AND n % 10 > 0 THEN {_ONES}[n % 10 + 1] END, CASE WHEN g < 7 THEN {_SCALES}[g] END)"""
 
 
+
 @query(f"""
 WITH p AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+|[^0-9]+')) AS p,

@@ -81,7 +81,48 @@ def keyword_match(text: Column, keywords: Column, every: Column, exact_case: Col
     return F.when(every, F.forall(keywords, hit)).otherwise(F.exists(keywords, hit))
 
 
-# Fillers and contractions of the text normaliser.
+def not_blank(text: Column) -> Column:
+    """Whether a text has anything but white space (Unicode's, and the four separators of ASCII)."""
+    return text.rlike(r"(?U)[^\s\x1C-\x1F]")
+
+
+def frame_rms(samples: Column, hop: int, frame: int) -> Column:
+    """Root mean square of every frame of an array, frames centred by reflection at the ends; null stays null.
+
+    The same as ``signal.rms`` for arrays of more than ``frame // 2`` samples, in SQL functions only.
+    """
+    half = frame // 2
+    x = F.transform(samples, lambda v: v.cast("double"))
+    padded = F.concat(F.reverse(F.slice(x, 2, half)), x, F.reverse(F.slice(x, F.size(x) - half, F.lit(half))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(padded) - frame) / hop).cast("int"))
+    square = F.transform(padded, lambda v: v * v)
+    return F.transform(
+        starts,
+        lambda i: F.sqrt(F.aggregate(F.slice(square, i * hop + 1, F.lit(frame)), F.lit(0.0), lambda s, v: s + v) / frame),
+    )
+
+
+def frames_ms(values: Column, threshold: float, frame_ms: int) -> Column:
+    """Time of the frames at or above the threshold."""
+    return F.size(F.filter(values, lambda x: x >= threshold)).cast("long") * frame_ms
+
+
+def ends_before(name: Column, end: str) -> Column:
+    """All parts of a name that end with the first ``end`` in it: what a basename with that end can equal."""
+    last = F.instr(name, end) + len(end) - 1
+    return F.when(
+        F.instr(name, end) > 0,
+        F.transform(F.sequence(F.lit(1), F.greatest(F.instr(name, end), F.lit(1))), lambda i: F.substr(name, i, last - i + 1)),
+    )
+
+
+def stem(path: Column) -> Column:
+    """The basename without its last extension."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+
+
+# Annotation patterns, fillers and contractions of the text normaliser.
+ANNOTATIONS = (r"<[^>]+>", r"\[[^\]]+\]")
 FILLERS = "uh|um|ah|er"
 CONTRACTIONS = {
     "won't": "will not",
@@ -100,7 +141,9 @@ CONTRACTIONS = {
 
 def normalise(text: Column) -> Column:
     """Annotations, fillers, case, contractions and punctuation away; words one space apart."""
-    t = F.regexp_replace(text, r"[<\[][^>\]]*[>\]]", "")
+    t = text
+    for pattern in ANNOTATIONS:
+        t = F.regexp_replace(t, pattern, "")
     t = F.regexp_replace(t, "_+", "")
     t = F.lower(F.replace(t, F.lit("-"), F.lit(" ")))
     t = F.regexp_replace(t, rf"(?U)\b({FILLERS})\b", "")

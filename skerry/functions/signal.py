@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from skerry.config import GateConfig
 
 
@@ -78,3 +83,44 @@ def band_pass(samples: np.ndarray, rate: int, low: float = 300.0, high: float =
 def speech_ms(probabilities: np.ndarray, hop: int, rate: int, threshold: float = 0.5) -> int:
     """Time of the frames at or above the threshold."""
     return int((np.asarray(probabilities) >= threshold).sum() * hop * 1000 / rate)
+
+
+def framed(df: DataFrame, key: str, samples: str, measure: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(``key``, frame, value) of a framed measure of every array of samples, where it is read; null arrays have no
+    frames.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(np.asarray(x, np.float64)) if x is not None else () for x in batch.column(1).to_pylist()]
+            n = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))),
+                    pa.array([i for k in n for i in range(k)], pa.int32()),
+                    pa.array([float(v) for f in found for v in f], pa.float64()),
+                ],
+                names=[key, "frame", "value"],
+            )
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, samples).mapInArrow(run, f"{key} {kind}, frame int, value double")
+
+
+def voice(samples: np.ndarray, rate: int, probabilities: np.ndarray, hop: int, c: GateConfig | None = None, least_ms: int = 0) -> bool:
+    """Two sensors on one buffer: whether the gate finds speech in the voice band and the detector's frames at or
+    above its threshold last longer than ``least_ms``.
+    """
+    heard = np.clip(band_pass(samples, rate), -32768, 32767)
+    return bool(gate(heard, c)) and speech_ms(probabilities, hop, rate) > least_ms
+
+
+def cut_ms(samples: np.ndarray, rate: int, start_ms: int, end_ms: int) -> np.ndarray:
+    """The samples of [start, end), inside the buffer."""
+    n = len(samples)
+    a, b = (min(max(t * rate // 1000, 0), n) for t in (start_ms, end_ms))
+    return samples[a:b]
+
+
+def duration_ms(n_samples: int, rate: int) -> int:
+    return n_samples * 1000 // rate

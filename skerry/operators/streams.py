@@ -4,48 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from skerry.config import ReorderConfig, StitchConfig
 from skerry.functions.kernels import GapMax, Reorder, Stitch, TtlFirst
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], make: Callable, schema: str) -> DataFrame:
     """Feed the rows of each key in order to a fresh kernel: ``make()`` gives ``(on_row, at_end)``, functions
     from a row to output rows.
 
     One shuffle on the keys and a sort that spills; a task holds one batch and one kernel's state, never a
-    whole key.
+    whole key.  Null keys are a key of their own; whole numbers stay whole.
     """
-    names = df.columns
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, on_row, at_end = None, None, None
-        columns = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             out: list[dict] = []
-            for values in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
-                row = dict(zip(names, values, strict=True))
+            for row in batch.to_pylist():
                 own = tuple(row[k] for k in keys)
-                if own != key:
+                if on_row is None or own != key:
                     if at_end:
                         out += [dict(zip(keys, key, strict=True)) | r for r in at_end()]
                     key, (on_row, at_end) = own, make()
                 out += [dict(zip(keys, key, strict=True)) | r for r in on_row(row)]
-            yield pd.DataFrame(out, columns=columns)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
         if at_end:
-            yield pd.DataFrame([dict(zip(keys, key, strict=True)) | r for r in at_end()], columns=columns)
+            yield pa.RecordBatch.from_pylist([dict(zip(keys, key, strict=True)) | r for r in at_end()], schema=arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def gap_sessions(df: DataFrame, key: str, ts: str, gap: int) -> DataFrame:
     """``df`` with a session number per key: a new one where ``ts`` is ``gap`` or more after the row before."""
     w = Window.partitionBy(key).orderBy(ts, *[c for c in df.columns if c not in (key, ts)])
-    new = F.when(F.col(ts) - F.lag(ts).over(w) < gap, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w) - 1).drop("_new")
+    new, name = F.when(F.col(ts) - F.lag(ts).over(w) < gap, 0).otherwise(1), unused(df, "_new")
+    return df.withColumn(name, new).withColumn("session", F.sum(name).over(w) - 1).drop(name)
 
 
 def gap_max_sessions(df: DataFrame, key: str, ts: str, gap: int, longest: int) -> DataFrame:
@@ -125,17 +133,20 @@ def stitch(chunks: DataFrame, config: StitchConfig | None = None, order: Column
     return fold(chunks.select(*columns), ["feed_id"], ["place"], make, TRANSMISSION)
 
 
-def run_intervals(df: DataFrame, key: str, ts: str, flag: str) -> DataFrame:
-    """(key, start, end, n): runs of rows with a true flag."""
-    w = Window.partitionBy(key).orderBy(ts, "event_id")
-    change = F.when(F.col(flag) == F.coalesce(F.lag(flag).over(w), F.lit(False)), 0).otherwise(1)
+def run_intervals(df: DataFrame, key: str, ts: str, flag: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(key, start, end, n): runs of rows with a true flag, in the order of ``ts`` and ``ties``; a null flag is
+    false.
+    """
+    w, on = Window.partitionBy(key).orderBy(ts, *ties), F.coalesce(F.col(flag), F.lit(False))
+    change, run = unused(df, "_change"), unused(df, "_run")
+    begins = F.when(on == F.coalesce(F.lag(on).over(w), F.lit(False)), 0).otherwise(1)
     return (
-        df.withColumn("_change", change)
-        .withColumn("_run", F.sum("_change").over(w))
-        .where(F.col(flag))
-        .groupBy(key, "_run")
+        df.withColumn(change, begins)
+        .withColumn(run, F.sum(change).over(w))
+        .where(on)
+        .groupBy(key, run)
         .agg(F.min(ts).alias("start_ms"), F.max(ts).alias("end_ms"), F.count(F.lit(1)).alias("n_rows"))
-        .drop("_run")
+        .drop(run)
     )
 
 
@@ -151,17 +162,74 @@ def hangover(df: DataFrame, key: str, order: list[str], flag: str, rows: int) ->
     return df.withColumn("held", F.max(flag).over(w))
 
 
-def numbered(df: DataFrame, key: str, width: int = 1 << 16) -> DataFrame:
-    """``df`` with ``number`` from 0 in the order of a whole-number key, without one task for all rows: rows are
-    numbered inside ranges of the key, and the ranges' sizes are summed up.
+#: Ranges that rows are numbered in, and parts of a range of equal keys.
+RANGES, PARTS = 256, 64
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``number`` from 0 in the order of ``key`` (null first; ties by the other columns' hash, then by
+    those columns), without one task for all rows.
+
+    Rows are dealt out to ranges between percentiles of the key, however sparse it is; a key that fills a
+    percentile is a range of its own and is cut in parts by hash.  Rows are numbered inside those, and their
+    sizes (at most ``2 * RANGES * PARTS`` rows) are summed up.  A column ``number`` is replaced.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
-    starts = sizes.select("_range", before.alias("_start"))
-    w = Window.partitionBy("_range").orderBy(key)
-    return (
-        ranged.join(starts, "_range")
-        .withColumn("number", F.col("_start") + F.row_number().over(w) - 1)
-        .drop("_range", "_start")
+    df = df.drop("number")
+    others = [c for c in df.columns if c != key]
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    bounds = sorted(set(df.agg(F.percentile_approx(key, shares, F.lit(20 * RANGES))).first()[0] or []))
+    at, part, tie = unused(df, "_at"), unused(df, "_part"), unused(df, "_tie")
+    known = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{df.schema[key].dataType.simpleString()}>")
+    below = F.size(F.filter(known, lambda b: b < F.col(key)))
+    equal = F.array_contains(known, F.col(key))
+    cell = F.when(F.col(key).isNull(), -1).when(equal, 2 * below + 1).otherwise(2 * below)
+    hashed = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    parted = F.when(F.col(key).isNull() | equal, F.pmod(hashed, F.lit(PARTS))).otherwise(0)
+    dealt = df.withColumns({at: cell, tie: hashed}).withColumn(part, parted.cast("int"))
+    sizes = dealt.groupBy(at, part).agg(F.count(F.lit(1)).alias("_n"))
+    start = F.sum("_n").over(Window.orderBy("_a", "_p")) - F.col("_n")
+    starts = sizes.select(F.col(at).alias("_a"), F.col(part).alias("_p"), "_n").select("_a", "_p", start.alias("_start"))
+    w = Window.partitionBy("_a", "_p").orderBy(F.col(f"_row.{key}").asc_nulls_first(), "_tie", *[F.col(f"_row.{c}") for c in others])
+    rows = dealt.select(
+        F.struct(*df.columns).alias("_row"), F.col(at).alias("_at"), F.col(part).alias("_part"), F.col(tie).alias("_tie")
+    )
+    return rows.join(F.broadcast(starts), (F.col("_at") == F.col("_a")) & (F.col("_part") == F.col("_p"))).select(
+        "_row.*", (F.col("_start") + F.row_number().over(w) - 1).alias("number")
     )
+
+
+def merged_by_place(left: DataFrame, right: DataFrame, key: str, same: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of two tables side by side, the n-th with the n-th in the order of ``key``.
+
+    ``key`` and the columns ``same`` must agree on both sides and the tables must be equally long, else the job
+    fails; the other columns of ``right`` are added.
+    """
+    theirs = [c for c in right.columns if c != key and c not in same]
+    a = numbered(left, key).select("number", F.struct(*left.columns).alias("_a"))
+    b = numbered(right, key).select("number", F.struct(*right.columns).alias("_b"))
+    fits = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    for c in (key, *same):
+        fits = fits & F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))
+    wrong = F.raise_error(F.lit("rows of the merged tables differ"))
+    checked = a.join(b, "number", "full").select(F.when(fits, F.col("_a")).otherwise(wrong).alias("_a"), "_b")
+    return checked.select("_a.*", *[F.col(f"_b.{c}").alias(c) for c in theirs])
+
+
+def within_key(df: DataFrame, key: str, order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with the place of each row in its key, from 0."""
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+
+
+def chunk_starts(df: DataFrame, key: str, ts: str, order: list[str], chunk_ms: int) -> DataFrame:
+    """``df`` with ``n``, the row's place in its key, and ``chunk_start_ms``: chunks laid end to end from the
+    key's first time on.
+    """
+    first = F.min(ts).over(Window.partitionBy(key))
+    return within_key(df, key, order, "n").withColumn("chunk_start_ms", (first + F.col("n") * chunk_ms).cast("long"))
+
+
+def first_of(df: DataFrame, ids: list[str], ts: str) -> DataFrame:
+    """What ``streaming.processors.exactly_once`` lets through of a whole table without late rows: the first row
+    of each id.
+    """
+    return df.groupBy(*ids).agg(F.min(ts).alias(ts))

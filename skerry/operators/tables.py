@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,7 @@ class Rule:
     target_feeds: tuple[str, ...] = ()
 
 
+# Fixed value: the built-in rule.
 BUILT_IN = Rule("basic_fire_terms", "regex", expression=r"\b(fire|burn|evacuation|spreading)\b")
 
 
@@ -64,7 +66,10 @@ def evaluate(
                 holds = holds & F.col(feed).isin(*r.target_feeds)
             hits.append(F.when(holds, F.lit(r.rule_id)))
     found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-    return texts.withColumn("decisions", F.when(F.trim(t) != "", found).otherwise(F.array().cast("array<string>")))
+    decisions = F.when(C.not_blank(t), found).otherwise(F.array().cast("array<string>"))
+    # a generator of one row: a filter on the decisions can't be pushed below it and evaluate every rule again
+    kept = [c for c in texts.columns if c != "decisions"]
+    return texts.select(*kept, F.inline(F.array(F.struct(decisions.alias("decisions")))))
 
 
 def flagged(evaluated: DataFrame) -> DataFrame:
@@ -172,18 +177,111 @@ def release(feeds: DataFrame, worker: str) -> DataFrame:
 
 
 def tolerance_first(left: DataFrame, right: DataFrame, key: str, a: str, b: str, within: float, order: str) -> DataFrame:
-    """Left join on ``key`` and ``abs(a - b) < within``: the first match in the order of ``order``.
+    """Left join on ``key`` and ``abs(a - b) < within``: the first match in the order of ``order`` and ``b``, as
+    ``found``; null without one.
 
-    Both sides are cut into cells of the tolerance's width, so the join is an equality on (key, cell).
+    Both sides are cut into cells of the tolerance's width, so the join is an equality on (key, cell), followed
+    by one aggregate over the left rows.  Nulls in any column, and repeated left rows, stay as they are.
     """
     cell = F.floor(F.col(b) / within)
-    near = right.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    own = left.withColumn("_cell", F.floor(F.col(a) / within))
-    first = F.min_by(F.struct(*[c for c in right.columns if c != key]), F.struct(order, b))
-    ids = [c for c in left.columns]
-    joined = own.join(near, [key, "_cell"]).where(F.abs(F.col(a) - F.col(b)) < within)
-    found = joined.groupBy(*ids).agg(first.alias("found"))
-    return left.join(found, ids, "left")
+    near = right.select(
+        F.struct(*[c for c in right.columns if c != key]).alias("_found"),
+        F.struct(order, b).alias("_order"),
+        F.col(key).alias("_key"),
+        F.col(b).alias("_b"),
+        F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"),
+    )
+    own = left.select(
+        F.struct(*left.columns).alias("_row"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.floor(F.col(a) / within).alias("_at"),
+    )
+    hit = F.abs(F.col(f"_row.{a}") - F.col("_b")) < within
+    joined = own.join(near, (F.col(f"_row.{key}") == F.col("_key")) & (F.col("_at") == F.col("_cell")), "left")
+    first = F.min_by("_found", F.when(hit, F.col("_order"))).alias("found")
+    return joined.groupBy("_id").agg(F.first("_row").alias("_row"), first).select("_row.*", "found")
+
+
+def with_default(left: DataFrame, right: DataFrame, key: str, value: str, default: Column) -> DataFrame:
+    """``left`` with ``value`` of the row of ``right`` with its key as text, or ``default``; ``unmatched`` tells
+    whether there is such a row.
+    """
+    side = right.select(key, F.col(value).cast("string").alias("_value"), F.lit(True).alias("_hit"))
+    return left.join(side, key, "left").select(
+        *left.columns, F.coalesce("_value", default).alias(value), F.col("_hit").isNull().alias("unmatched")
+    )
+
+
+def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The rows of ``wanted`` whose key no row of ``done`` has."""
+    return wanted.join(done.where(F.col(key).isNotNull()), key, "left_anti")
+
+
+def pending_names(wanted: DataFrame, done: DataFrame, path: str, name: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``wanted`` whose basename stands in no ``name`` of ``done``.
+
+    ``tokens`` gives all parts of a name in which a basename may stand, so that the search is an equality join:
+    names are cut once, and no row of one side meets all of the other.
+    """
+    held = done.select(F.explode(tokens(F.col(name))).alias("_base")).distinct()
+    return wanted.join(held, C.basename(F.col(path)) == F.col("_base"), "left_anti")
+
+
+def pivot_counts(df: DataFrame, key: str, kind: str, kinds: list[str]) -> DataFrame:
+    """One row a key, one count a kind, in one pass with partial sums."""
+    return df.groupBy(key).agg(*[F.count_if(F.col(kind) == k).alias(k) for k in kinds])
+
+
+def tally(df: DataFrame, **checks: Column) -> DataFrame:
+    """One row: how many rows there are, and how many pass each check."""
+    return df.agg(F.count(F.lit(1)).alias("checked"), *[F.count_if(c).alias(n) for n, c in checks.items()])
+
+
+def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, line) of every line that is not blank."""
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return lines.where(C.not_blank(F.col("line")))
+
+
+def large_enough(files: DataFrame, size: str, least: int, strict: bool = False) -> DataFrame:
+    """The rows of at least that size, or beyond it."""
+    return files.where(F.col(size) > least if strict else F.col(size) >= least)
+
+
+def lost(feeds: DataFrame, worker: str) -> DataFrame:
+    """Ids of the active feeds whose lease the worker could not renew."""
+    held = feeds.where("status = 'active'").select("id")
+    return held.join(heartbeats(feeds, held, worker).where("renewed"), "id", "left_anti")
+
+
+def _fenced_update(feeds: DataFrame, requests: DataFrame, changes: dict[str, Column], *carry: str) -> DataFrame:
+    """The state table with ``changes`` on the feeds whose (id, worker_id, fencing_token) a request has, and
+    ``updated``, which tells them.  A repeated request counts once.
+    """
+    side = requests.groupBy("id", "worker_id", "fencing_token").agg(F.lit(True).alias("_hit"), *[F.max(c).alias(f"_{c}") for c in carry])
+    joined = feeds.join(side, ["id", "worker_id", "fencing_token"], "left").withColumn("updated", F.col("_hit").isNotNull())
+    out = [F.when(F.col("updated"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in feeds.columns]
+    return joined.select(*out, "updated")
+
+
+def progress(feeds: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """The state table after fenced progress reports (id, worker_id, fencing_token, last_processed_filename)."""
+    changes = {
+        "last_processed_filename": F.col("_last_processed_filename"), "last_heartbeat": now,
+        "failure_count": F.lit(0).cast(feeds.schema["failure_count"].dataType),
+    }
+    return _fenced_update(feeds, requests, changes, "last_processed_filename")
+
+
+def fenced_release(feeds: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """The state table after fenced releases (id, worker_id, fencing_token): unclaimed, without a worker."""
+    changes = {"status": F.lit("unclaimed"), "worker_id": F.lit(None).cast("string"), "last_heartbeat": now}
+    return _fenced_update(feeds, requests, changes)
+
+
+def affected(updated: DataFrame) -> DataFrame:
+    """One row: how many rows an update changed, of how many."""
+    return tally(updated, updated=F.col("updated")).withColumnRenamed("checked", "n_rows")
 
 
 def changed_rules(rules: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

@@ -48,17 +48,22 @@ class Transmissions(StatefulProcessor):
         self.state = handle.getValueState("state", "state binary")
 
     def _load(self) -> tuple[Reorder, Stitch, dict]:
-        held = pickle.loads(self.state.get()[0]) if self.state.exists() else (None, None, {})
+        held = pickle.loads(self.state.get()[0]) if self.state.exists() else (None, None, {}, (None, None))
+        self.stale = held[3]
         return Reorder(self.reorder_config, held[0]), Stitch(self.stitch_config, held[1]), held[2]
 
     def _save(self, reorder: Reorder, stitch: Stitch, meta: dict, now: int) -> None:
-        self.state.update((pickle.dumps((reorder.s, stitch.s, meta)),))
+        # the deadline moves with new speech alone: ``stale_ms`` after it came, whatever else happens until then
+        if stitch.s["stale_at"] != self.stale[0]:
+            due = None if stitch.s["stale_at"] is None else now + self.stitch_config.stale_ms
+            self.stale = (stitch.s["stale_at"], due)
+        self.state.update((pickle.dumps((reorder.s, stitch.s, meta, self.stale)),))
         for due in self.handle.listTimers():
             self.handle.deleteTimer(due)
         if reorder.s["due"] is not None:
             self.handle.registerTimer(max(reorder.s["due"], now + 1))
-        if stitch.s["stale_at"] is not None:
-            self.handle.registerTimer(now + self.stitch_config.stale_ms)
+        if self.stale[1] is not None:
+            self.handle.registerTimer(max(self.stale[1], now + 1))
 
     def _stitched(self, key, ready: list[dict], stitch: Stitch, meta: dict) -> list[dict]:
         out = []
@@ -87,9 +92,9 @@ class Transmissions(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         reorder, stitch, meta = self._load()
         now = timerValues.getCurrentProcessingTimeInMs()
-        due = reorder.s["due"] is not None and now >= reorder.s["due"]
+        stale = self.stale
         out = self._stitched(key, reorder.on_time(now), stitch, meta)
-        if not due:
+        if stale[1] is not None and now >= stale[1] and stitch.s["stale_at"] == stale[0]:
             out += [{"feed_id": key[0]} | r for r in stitch.on_time(None)]
         self._save(reorder, stitch, meta, now)
         yield self._frame(out)
