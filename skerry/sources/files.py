@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.config import GateConfig
+from skerry.functions.signal import gate
+from skerry.operators.tables import with_error
+
 
 def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A manifest of JSON objects, as an array or one after the other, with raw line breaks inside strings.
@@ -143,3 +151,45 @@ def filename_prefixes(spark: SparkSession, path: str) -> DataFrame:
     outputs = F.regexp_extract_all("body", F.lit(r'type = "file"[^\n]*\n[^}]*?filename_template\s*=\s*"([^"]+)"'), 1)
     found = body.select("file", F.explode(outputs).alias("filename_template"))
     return found.where(~F.col("filename_template").endswith("_tones")).distinct()
+
+
+def _same_uri(path: Column) -> Column:
+    """Local paths in one form; other URIs as they are."""
+    return F.regexp_replace(path, "^file:/*(?=/)", "file://")
+
+
+def claim_check(rows: DataFrame, uri: str, blobs: DataFrame) -> DataFrame:
+    """``rows`` with the ``content`` of the file that ``uri`` names, and ``error`` where there is none.
+
+    ``blobs``: a ``binaryFile`` scan (``path``, ``content``).  Repeated rows get the same content each; a null
+    uri finds nothing.  Split the result with ``tables.dead_letters``.
+    """
+    side = blobs.select(_same_uri(F.col("path")).alias("_path"), "content")
+    found = rows.join(side, _same_uri(F.col(uri)) == F.col("_path"), "left").drop("_path")
+    return with_error(found, [(F.col("content").isNull(), "object not found")])
+
+
+def detect(found: DataFrame, content: str = "content", config: GateConfig | None = None) -> DataFrame:
+    """``found`` without its ``content`` (16-bit samples, perhaps null), with ``speech_segments`` of the gate and
+    ``duration_ms``, file by file where they are read.
+    """
+    c = config or GateConfig()
+    carry = [n for n in found.columns if n != content]
+    kinds = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segments, lengths = [], []
+            for blob in batch.column(len(carry)).to_pylist():
+                samples = np.frombuffer(blob or b"", np.int16, len(blob or b"") // 2)
+                segments.append([{"start_ms": a, "end_ms": b} for a, b in gate(samples, c)])
+                lengths.append(len(samples) * 1000 // c.sample_rate)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(segments, kinds), pa.array(lengths, pa.int64())],
+                names=[*carry, "speech_segments", "duration_ms"],
+            )
+
+    picked = found.select(*carry, content)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    segments = "speech_segments array<struct<start_ms: long, end_ms: long>>, duration_ms long"
+    return picked.mapInArrow(run, f"{schema}, {segments}")

@@ -3,16 +3,20 @@ import hashlib
 import hmac
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
+from skerry.config import ReorderConfig, StitchConfig
 from skerry.functions import plugins
-from skerry.operators import nested, streams
+from skerry.operators import nested, streams, tables
 from skerry.sources import files, remote
-from skerry.streaming import metrics, sinks
+from skerry.streaming import metrics, processors, sinks
 
 
 class Server(BaseHTTPRequestHandler):
@@ -203,3 +207,125 @@ def test_fan_out(spark, tmp_path):
     sinks.fan_out(rows, str(tmp_path / "o"), str(tmp_path / "d"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [(1,)]
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "d")).collect()] == [(2, "broken")]
+
+
+def test_claim_check(spark, tmp_path):
+    t = np.arange(16_000) / 16_000
+    tone = (8000 * np.sin(2 * np.pi * 700 * t) * (t > 0.3)).astype(np.int16)
+    for name, samples in (("a", tone), ("b", np.zeros(100, np.int16))):
+        (tmp_path / f"{name}.pcm").write_bytes(samples.tobytes())
+    uris = [(1, f"file://{tmp_path}/a.pcm"), (2, f"file:{tmp_path}/b.pcm"), (3, f"file://{tmp_path}/c.pcm"), (4, None), (1, f"file://{tmp_path}/a.pcm")]
+    rows = spark.createDataFrame(uris, "feed long, uri string")
+    found = files.claim_check(rows, "uri", spark.read.format("binaryFile").load(f"{tmp_path}/*.pcm"))
+    lost = tables.dead_letters(found.drop("content"), F.col("feed"), "download").collect()
+    assert {(r.feed_id, r.error) for r in lost} == {("3", "object not found"), ("4", "object not found")}
+    heard = files.detect(found.where("error IS NULL")).collect()
+    assert sorted((r.feed, r.duration_ms) for r in heard) == [(1, 1000), (1, 1000), (2, 6)]
+    assert all(r.speech_segments == [] for r in heard if r.feed == 2)
+
+
+def _rows_of(query, name, spark, n, seconds=90):
+    end = time.time() + seconds
+    while time.time() < end:
+        rows = spark.sql(f"SELECT * FROM {name}").collect()
+        if len(rows) >= n or query.exception():
+            return rows
+        time.sleep(0.5)
+    return rows
+
+
+CHUNK = (
+    "feed_id long, session_id string, gcs_uri string, event_ts_ms long, duration_ms long, "
+    "speech_segments array<struct<start_ms: long, end_ms: long>>, seq long"
+)
+
+
+def test_live_transmissions(spark, tmp_path):
+    """Out of order, with a gap, and with a stale end: the live processor says what the batch kernels say."""
+    chunks = [(1, "s", f"u{i}", i * 15_000, 15_000, [(0, 15_000)], i) for i in (0, 2, 1)]
+    chunks += [(1, "s", "u3", 45_000, 15_000, [], 3), (1, "s", "u4", 60_000, 15_000, [(5_000, 9_000)], 4)]
+    chunks += [(2, "s", "v0", 0, 15_000, [(1_000, 2_000)], 0)]
+    rows = spark.createDataFrame([(*c[:6], k) for k, c in enumerate(chunks)], CHUNK)
+    rows.coalesce(1).write.json(str(tmp_path / "in"))
+    stitching = StitchConfig(gap_ms=3_000, stale_ms=4_000)
+    stream = spark.readStream.schema(CHUNK).json(str(tmp_path / "in"))
+    found = processors.transmissions_stream(stream, ReorderConfig(timeout_ms=2_000), stitching)
+    query = (
+        found.writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp"))
+        .outputMode("append").trigger(processingTime="500 milliseconds").start()
+    )
+    try:
+        live = _rows_of(query, "live", spark, 3)
+        assert not query.exception()
+    finally:
+        query.stop()
+    got = {(r.feed_id, tuple(r.contributing_audio_uris), r.reason) for r in live}
+    assert {(f, u) for f, u, _ in got} == {(1, ("u0", "u1", "u2", "u3")), (1, ("u4",)), (2, ("v0",))} or {
+        (f, u) for f, u, _ in got
+    } == {(1, ("u0", "u1", "u2")), (1, ("u4",)), (2, ("v0",))}
+    assert {r for f, u, r in got if u in (("u4",), ("v0",))} == {"stale"}
+
+
+def test_stale_deadline_is_not_prolonged():
+    """A reorder timer that fires in between leaves the stale deadline where it was."""
+    timers, held = set(), {}
+
+    class State:
+        def exists(self):
+            return bool(held)
+
+        def get(self):
+            return held["v"]
+
+        def update(self, v):
+            held["v"] = v
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+        def listTimers(self):  # noqa: N802
+            return iter(sorted(timers))
+
+        def deleteTimer(self, t):  # noqa: N802
+            timers.discard(t)
+
+        def registerTimer(self, t):  # noqa: N802
+            timers.add(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return self.ms
+
+    def chunk(i, seq, speech=((0, 9_000),)):
+        own = [{"start_ms": a, "end_ms": b} for a, b in speech]
+        return pd.DataFrame([{"session_id": "s", "gcs_uri": f"u{i}", "event_ts_ms": i * 15_000, "duration_ms": 15_000, "speech_segments": own, "seq": seq}])
+
+    p = processors.Transmissions(ReorderConfig(), StitchConfig(gap_ms=800))
+    p.init(Handle())
+    list(p.handleInputRows((1,), iter([chunk(0, 0)]), Now(1_000)))
+    assert timers == {46_000}
+    list(p.handleInputRows((1,), iter([chunk(5, 1, ())]), Now(20_000)))  # waits: chunks 1 to 4 are missing
+    assert timers == {35_000, 46_000}
+    list(p.handleExpiredTimer((1,), Now(35_000), None))  # silence after a hole
+    rest = [r for f in p.handleExpiredTimer((1,), Now(46_000), None) for r in f.to_dict("records")]
+    assert not timers or max(timers) <= 46_000 and not rest
+
+
+def test_exactly_once(spark, tmp_path):
+    schema = "chunk_uri string, event_ts timestamp, n int"
+    for name, rows in (("1", ["a", "a", "b"]), ("2", ["b", "c"])):
+        lines = [json.dumps({"chunk_uri": u, "event_ts": f"2024-01-01T00:0{name}:00Z", "n": i}) for i, u in enumerate(rows)]
+        (tmp_path / f"{name}.json").write_text("\n".join(lines))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    query = (
+        processors.exactly_once(stream).writeStream.format("memory").queryName("once")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    assert sorted(r.chunk_uri for r in spark.sql("SELECT * FROM once").collect()) == ["a", "b", "c"]
+    table = spark.read.schema(schema).json(str(tmp_path / "*.json"))
+    assert {r.chunk_uri for r in streams.first_of(table, ["chunk_uri"], "event_ts").collect()} == {"a", "b", "c"}

@@ -3,11 +3,13 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skerry import catalogue
 from skerry.config import GateConfig, ReorderConfig, StitchConfig, check_timeouts
-from skerry.functions import signal
+from skerry.functions import columns, signal
 from skerry.functions.kernels import Reorder, Stitch, TtlFirst, align
+from skerry.operators import rules, streams, tables
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings conversations labels"
@@ -231,3 +233,116 @@ def test_envelopes_and_listings(spark, tmp_path):
     )
     found = folder_listing(spark, str(tmp_path)).orderBy("name").collect()
     assert [tuple(r) for r in found] == [("x", True, None), ("y", False, 12)]
+
+
+def test_blank_texts_have_no_decisions(spark):
+    texts = spark.createDataFrame([(1, "\n\t"), (2, "\u3000\xa0"), (3, "\x1c"), (4, None), (5, " x ")], "id int, text string")
+    found = tables.evaluate(texts, [tables.Rule("all", "keyword", (), "ALL")])
+    assert {r.id: r.decisions for r in found.collect()} == {1: [], 2: [], 3: [], 4: [], 5: ["all"]}
+    again = tables.evaluate(found.withColumn("size", F.lit("clash")), [tables.Rule("x", "keyword", ("X",))])
+    assert again.columns == ["id", "text", "size", "decisions"] and tables.flagged(again).count() == 1
+
+
+def test_a_filter_does_not_evaluate_rules_again(spark):
+    texts = spark.createDataFrame([("a fire",)], "text string")
+    plan = tables.flagged(tables.evaluate(texts, [tables.BUILT_IN]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("evacuation") == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "normal"),
+    [
+        ("<a]b> ok x < 3] y", "ok x 3 y"),
+        ("<unknown>Engine [noise]5", "engine 5"),
+        ("<> [] a", "a"),
+        ("x [a>b] y <c]d", "x y cd"),
+    ],
+)
+def test_annotations(spark, text, normal):
+    assert spark.createDataFrame([(text,)], "t string").select(columns.normalise(F.col("t"))).first()[0] == normal
+
+
+def test_tolerance_join_with_nulls_and_repeats(spark):
+    left = spark.createDataFrame(
+        [("k", 1.0, None), ("k", 1.0, "x"), ("k", 1.0, "x"), (None, 1.0, "n"), ("k", None, "v"), ("k", 90.0, "far"), ("k", -1.0, "neg")],
+        "key string, a double, note string",
+    )
+    right = spark.createDataFrame([("k", 3.0, 2), ("k", 1.5, 1), ("k", -4.5, 0), (None, 1.0, 0)], "key string, b double, line int")
+    rows = tables.tolerance_first(left, right, "key", "a", "b", 5.0, "line").collect()
+    got = sorted((str(r.note), str(r.a), r.found and r.found.line) for r in rows)
+    assert got == sorted(
+        [("None", "1.0", 1), ("x", "1.0", 1), ("x", "1.0", 1), ("n", "1.0", None), ("v", "None", None), ("far", "90.0", None), ("neg", "-1.0", 0)]
+    )
+
+
+def test_numbering_of_null_tied_and_sparse_keys(spark):
+    keys = [None, None, 1, 5, *([2**60] * 3000), *[i * 10**12 - 7 for i in range(500)], -(2**62)]
+    rows = [(k, f"{i % 1500}", i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k long, v string, number int")
+    got = streams.numbered(df, "k").collect()
+    assert sorted(r.number for r in got) == list(range(len(keys)))
+    ordered = [r.k for r in sorted(got, key=lambda r: r.number)]
+    assert ordered == sorted(keys, key=lambda k: (k is not None, k or 0))
+    # ties by what the rows say, so two numberings agree
+    assert {(r.number, r.k, r.v) for r in got} == {(r.number, r.k, r.v) for r in streams.numbered(df.repartition(7), "k").collect()}
+    small = spark.createDataFrame([(None,), (1,), (5,)], "k long")
+    assert [r.number for r in streams.numbered(small, "k").orderBy("k").collect()] == [0, 1, 2]
+    assert streams.numbered(small.where("false"), "k").count() == 0
+
+
+def test_merge_by_place(spark):
+    a = spark.createDataFrame([(10**15, 1.5, "a"), (3, 2.0, "b"), (None, 0.5, "c")], "k long, offset double, pred_a string")
+    b = spark.createDataFrame([(None, 0.5, "z"), (3, 2.0, "y"), (10**15, 1.5, "x")], "k long, offset double, pred_b string")
+    rows = streams.merged_by_place(a, b, "k", ("offset",)).collect()
+    assert {(r.k, r.pred_a, r.pred_b) for r in rows} == {(10**15, "a", "x"), (3, "b", "y"), (None, "c", "z")}
+    for wrong in (b.where("k = 3"), b.withColumn("offset", F.col("offset") + 1)):
+        with pytest.raises(Exception, match="differ"):
+            streams.merged_by_place(a, wrong, "k", ("offset",)).collect()
+
+
+def test_kernels_keep_large_and_null_numbers(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(1, 5, big), (1, 6, None), (None, 7, big + 2)], "k long, ts long, id long")
+    rows = streams.ttl_first(df, ["k"], "ts", 1, "id").collect()
+    assert {(r.k, r.ts, r.id) for r in rows} == {(1, 5, big), (1, 6, None), (None, 7, big + 2)}
+
+
+def test_runs_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 1, True, 0), (1, 2, None, 0), (1, 3, True, 0), (1, 3, True, 1)], "k int, ts long, on boolean, _run int")
+    rows = streams.run_intervals(df, "k", "ts", "on", ("_run",)).collect()
+    assert {(r.start_ms, r.end_ms, r.n_rows) for r in rows} == {(1, 1, 1), (3, 3, 2)}
+    assert "_new" in streams.gap_sessions(df.withColumnRenamed("_run", "_new"), "k", "ts", 2).columns
+
+
+def test_rule_tables(spark):
+    stored = [
+        ("a", True, '{"level": "GLOBAL"}', '{"evaluation_type": "KEYWORD_MATCH", "keywords": ["test"], "operator": "ALL"}'),
+        ("b", None, '{"level": "FEED_SPECIFIC", "target_feeds": ["f"]}', '{"evaluation_type": "REGEX_MATCH", "expression": "x+"}'),
+        ("c", False, '{"level": "GLOBAL"}', '{"evaluation_type": "RULE_GROUP", "operator": "ANY", "child_rule_ids": ["a", "b"]}'),
+        ("d", True, '{"level": "GLOBAL"}', '{"evaluation_type": "REGEX_MATCH"}'),
+        ("e", True, '{"level": "EVERYWHERE"}', '{"evaluation_type": "KEYWORD_MATCH", "keywords": []}'),
+        ("f", True, "no json", None),
+    ]
+    df = spark.createDataFrame(stored, "rule_id string, is_active boolean, scope string, conditions string")
+    parsed = rules.parse(df)
+    errors = {r.rule_id: r.error for r in parsed.collect()}
+    assert errors == {"a": None, "b": None, "c": None, "d": "bad conditions", "e": "bad scope", "f": "bad scope"}
+    a, b, c = rules.load(parsed)
+    assert a == tables.Rule("a", "keyword", ("test",), "ALL") and c.children == ("a", "b") and not c.is_active
+    assert b.is_active and b.flags == "i" and b.level == "FEED_SPECIFIC" and b.target_feeds == ("f",)
+    assert [r.rule_id for r in rules.listed(df, active=True).collect()] == ["a", "d", "e", "f"]
+    assert rules.get(df, "c").count() == 1 and rules.get(df, "zz").count() == 0
+    assert rules.delete(df, df.where("rule_id = 'a'").select("rule_id")).count() == 5
+    assert rules.create(df, df.withColumn("is_active", F.lit(False))).where("is_active").count() == 4
+
+
+def test_two_sensors():
+    rate, t = 16_000, np.arange(32_000) / 16_000
+    noise = np.random.default_rng(1).normal(0, 30, 32_000)
+    speech = noise + np.where((t > 0.5) & (t < 1.5), 9000 * np.sin(2 * np.pi * 900 * t) * (1 + np.sin(2 * np.pi * 7 * t)), 0)
+    sure, unsure = np.full(125, 0.9), np.full(125, 0.1)
+    loose = GateConfig(flat_low=0.0, flat_high=1.0)
+    assert signal.voice(speech, rate, sure, 256, loose) and not signal.voice(speech, rate, unsure, 256, loose)
+    assert not signal.voice(np.zeros(32_000), rate, sure, 256, loose)
+    assert signal.duration_ms(32_000, rate) == 2000
+    assert len(signal.cut_ms(speech, rate, 500, 1500)) == 16_000 and len(signal.cut_ms(speech, rate, 1900, 9000)) == 1600
