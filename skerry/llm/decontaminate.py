@@ -17,7 +17,6 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -192,14 +191,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _build(mean: float):
-    def run(key: tuple, items: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(zip(items.item_id, items.text, strict=True), key=lambda r: (r[0] is None, str(r[0]), r[1]))
-        terms = weights.term.to_numpy(np.int64).view(np.uint64)
+    def run(key: tuple, items: pa.Table, weights: pa.Table) -> pa.Table:
+        stride, part = (k.as_py() for k in key)
+        rows = zip(items.column("item_id").to_pylist(), items.column("text").to_pylist(), strict=True)
+        known = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        terms, idf = weights.column("term").to_numpy().view(np.uint64), weights.column("idf").to_numpy()
         order = np.argsort(terms)
-        index = Index(
-            [(None if i is None else int(i), t) for i, t in items], terms[order], weights.idf.to_numpy()[order], mean, key[0]
-        )
-        return pd.DataFrame({"stride": [key[0]], "part": [key[1]], "image": [pickle.dumps(index)]})
+        index = Index(known, terms[order], idf[order], mean, stride)
+        return pa.table({"stride": [stride], "part": [part], "image": [pickle.dumps(index)]})
 
     return run
 
@@ -208,9 +207,9 @@ def build(items: DataFrame) -> list[str]:
     """The files of an index of ``items`` (``item_id``, ``text``), built by tasks; none if no item has a word."""
     spark = items.sparkSession
     with scratch(spark):
-        known = items.select(F.col("item_id").cast("long").cast("string"), F.col("text").cast("string"))
+        known = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
         measured = known.where(F.col("text").isNotNull()).distinct()
-        schema = "item_id string, text string, stride long, n_words long, terms array<long>"
+        schema = "item_id long, text string, stride long, n_words long, terms array<long>"
         measured = cut(measured.mapInArrow(_measure, schema).where("n_words > 0"), "items")
         n, mean = measured.agg(F.count(F.lit(1)), F.avg("n_words")).first()
         if not n:
@@ -229,7 +228,7 @@ def build(items: DataFrame) -> list[str]:
             dealt.select(*group, "item_id", "text")
             .groupBy(*group)
             .cogroup(own.groupBy(*group))
-            .applyInPandas(_build(mean), "stride long, part long, image binary")
+            .applyInArrow(_build(mean), "stride long, part long, image binary")
         )
         return sorted(map(uri, cut(index, "index", keep=True).inputFiles()))
 

@@ -22,10 +22,10 @@ from tokenizers import Tokenizer, pre_tokenizers
 from skerry.llm import words
 
 DEFAULT_FILE = public_tokenizers.path("word_bpe_49k.json")
-#: Entries of each of the two generations of a worker's memory of pieces (about 40 MB each).
-REMEMBERED = 200_000
+#: Entries of each of the two generations of a worker's memory of pieces (about 30 MB each).
+REMEMBERED = 150_000
 #: Bytes of the texts of a slice.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Chunks with other characters than ASCII and Latin letters, or with what may be a special token, go to the
 #: library whole.
 ODD = re.compile(r"[^\n!-~À-ÖØ-öø-ÿ]|<\|")
@@ -68,12 +68,12 @@ class ChunkEncoder:
 
     def __init__(self, path: str = DEFAULT_FILE, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         # the same merges over pieces in lower case and byte letters
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = self.merges.post_processor = None
         self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        names = self.tokenizer.get_vocab()
+        names = self.merges.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         self.letters = _byte_letters() | {32: " "}
@@ -82,7 +82,9 @@ class ChunkEncoder:
 
     def whole(self, text: str) -> bytes:
         """One plain call of the library."""
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if self.library is None:  # many workers meet no odd chunk and need no second tokenizer
+            self.library = Tokenizer.from_file(self.path)
+        ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
@@ -149,3 +151,4 @@ def encode_all(texts: pa.Array, path: str = DEFAULT_FILE, end_id: int | None = N
     for a, b in words.slices(texts, SLICE):
         for ids in encoder(path).encode_all(texts.slice(a, b - a)):
             yield ids + tail
+    pa.default_memory_pool().release_unused()
