@@ -67,10 +67,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut_texts(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 4 * capacity
+        step, encoder = 4 * capacity, tokens.ChunkEncoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            found = tokens.encode_all(batch.column(1), path, end_id)
+            found = tokens.encode_all(batch.column(1), path, end_id, encoder)
             for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

@@ -158,6 +158,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         doc_ids: list[int | None] = []
         held: list[bytes] = []
         size, files = 0, 0
+        encoder = tokens.ChunkEncoder(tokenizer)
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, held, size, files
@@ -182,7 +183,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             return row
 
         for batch in batches:
-            found = tokens.encode_all(batch.column(1), tokenizer, end_id)
+            found = tokens.encode_all(batch.column(1), tokenizer, end_id, encoder)
             for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 doc_ids.append(doc_id)
                 held.append(ids)

@@ -22,8 +22,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from skerry.llm import words
 
 DEFAULT_FILE = public_tokenizers.path("word_bpe_49k.json")
-#: Entries of each of the two generations of a worker's memory of pieces (about 30 MB each).
-REMEMBERED = 150_000
+#: Entries of each of the two generations of a worker's memory of pieces (about 20 MB each).
+REMEMBERED = 100_000
 #: Bytes of the texts of a slice.
 SLICE = 1 << 21
 #: Chunks with other characters than ASCII and Latin letters, or with what may be a special token, go to the
@@ -135,20 +135,16 @@ class ChunkEncoder:
         return self.encode_all(pa.array([text], pa.large_string()))[0]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+def encode_all(
+    texts: pa.Array, path: str = DEFAULT_FILE, end_id: int | None = None, encoder: ChunkEncoder | None = None
+) -> Iterator[bytes]:
+    """Ids of each text, with ``end_id``, slice by slice; a text beyond the size of a slice is one of its own.
 
-
-def encoder(path: str = DEFAULT_FILE) -> ChunkEncoder:
-    """The encoder of this process."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
-
-
-def encode_all(texts: pa.Array, path: str = DEFAULT_FILE, end_id: int | None = None) -> Iterator[bytes]:
-    """Ids of each text, with ``end_id``, slice by slice; a text beyond the size of a slice is one of its own."""
+    A task makes one ``encoder`` and drops it at its end, so that no worker carries it into other stages.
+    """
     tail = b"" if end_id is None else end_id.to_bytes(4, "little")
+    encoder = encoder or ChunkEncoder(path)
     for a, b in words.slices(texts, SLICE):
-        for ids in encoder(path).encode_all(texts.slice(a, b - a)):
+        for ids in encoder.encode_all(texts.slice(a, b - a)):
             yield ids + tail
     pa.default_memory_pool().release_unused()

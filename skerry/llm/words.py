@@ -49,7 +49,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes; a longer text is a range of its own."""
     bounds, at = buffers(texts)[1], 0
     while at < len(texts):

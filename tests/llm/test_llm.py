@@ -125,7 +125,7 @@ def test_packing(odd, empty):
     by_doc = Counter()
     for r in rows:
         by_doc[r.doc_id] += r.length
-    enc = tokens.encoder()
+    enc = tokens.ChunkEncoder()
     assert by_doc[6] == len(enc.whole(LONG)) // 4 + 1 and by_doc[0] == 1
     for s in {r.sequence_id for r in rows}:
         own = sorted((r.offset, r.length) for r in rows if r.sequence_id == s)
@@ -154,7 +154,7 @@ def test_pfor(spark, odd, empty):
     rows = sorted(pfor.read_ids(spark, pfor.write_ids(odd)).collect(), key=lambda r: (r.start))
     assert len(rows) == 11 and rows[0].doc_id is None
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(11)]
-    ids = tokens.encoder().whole(LONG) + (1).to_bytes(4, "little")
+    ids = tokens.ChunkEncoder().whole(LONG) + (1).to_bytes(4, "little")
     assert next(r for r in rows if r.doc_id == 6).ids_crc32 == zlib.crc32(ids)
     assert pfor.read_ids(spark, pfor.write_ids(empty)).count() == 0
 
