@@ -125,7 +125,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(first), pa.int64()), lists],
                 names=["doc_id", "key", "n_words", "bands"],
             )
-    pa.default_memory_pool().release_unused()
+    words.release()
 
 
 def overlaps(shingle: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:

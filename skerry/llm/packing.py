@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm import tokens
+from skerry.llm import tokens, words
 from skerry.llm.storage import cut
 
 CAPACITY = 2048
@@ -83,6 +83,8 @@ def _cut_texts(path: str, capacity: int, end_id: int):
                 [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        del encoder
+        words.release()
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm import tokens
+from skerry.llm import tokens, words
 from skerry.llm.storage import cut, new_path, uri
 
 MAGIC = b"PFOR0001"
@@ -192,6 +192,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                     yield close()
         if doc_ids:
             yield close()
+        del encoder
+        words.release()
 
     return run
 

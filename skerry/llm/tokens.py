@@ -46,20 +46,22 @@ def _byte_letters() -> dict[int, str]:
 class Memory:
     """Ids of strings in two generations: what nothing asked for while ``size`` new ones came is forgotten."""
 
-    def __init__(self, size: int, learn: Callable[[list[str]], list[bytes]]):
-        self.size, self.learn = size, learn
+    def __init__(self, size: int):
+        self.size = size
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def meet(self, asked: set[str]) -> dict[str, bytes]:
-        """A dict that has all that are asked for."""
+    def meet(self, asked: set[str], learn: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dict that has all that are asked for.  ``learn`` is not kept: an encoder in a cycle of references would
+        stay in the worker after its task.
+        """
         new = asked.difference(self.known)
         if len(self.known) + len(new) > self.size:
             self.older, self.known, new = self.known, {}, asked
         again = new & self.older.keys()
         self.known.update([(s, self.older[s]) for s in again])
         if fresh := list(new - again):
-            self.known.update(zip(fresh, self.learn(fresh), strict=True))
+            self.known.update(zip(fresh, learn(fresh), strict=True))
         return self.known
 
 
@@ -77,8 +79,8 @@ class ChunkEncoder:
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         self.letters = _byte_letters() | {32: " "}
-        self.pieces = Memory(remembered, self._merge)
-        self.odd = Memory(remembered // 10, lambda chunks: [self.whole(c) for c in chunks])
+        self.pieces = Memory(remembered)
+        self.odd = Memory(remembered // 10)
 
     def whole(self, text: str) -> bytes:
         """One plain call of the library."""
@@ -101,12 +103,12 @@ class ChunkEncoder:
             odd = {c for c in chunks if ODD.search(c)}
             lines = "\n".join(["" if c in odd else c for c in chunks])
         pieces = PIECE.findall(lines.lower() + "\n" if chunks else "")
-        known = self.pieces.meet(set(pieces) - {"\n"})
+        known = self.pieces.meet(set(pieces) - {"\n"}, self._merge)
         known["\n"] = stop = STOP.to_bytes(4, "little")
         data = list(map(known.__getitem__, pieces))
         del known["\n"]
         if odd:
-            whole = self.odd.meet(odd)
+            whole = self.odd.meet(odd, lambda chunks: [self.whole(c) for c in chunks])
             at = [i for i, p in enumerate(pieces) if p == "\n"]
             for line, chunk in zip(at, chunks, strict=True):
                 if chunk in odd:
@@ -147,4 +149,4 @@ def encode_all(
     for a, b in words.slices(texts, SLICE):
         for ids in encoder.encode_all(texts.slice(a, b - a)):
             yield ids + tail
-    pa.default_memory_pool().release_unused()
+    words.release()

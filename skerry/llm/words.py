@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,14 @@ def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker doesn't carry one stage's peak into the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """Lower case of ASCII and of the Latin-1 letters in UTF-8."""
     out = LOWER[data]
