@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
@@ -94,6 +95,15 @@ def test_tokens_are_the_librarys():
         assert enc.encode_all(pa.array(texts)) == [enc.whole(t) for t in texts]
 
 
+def test_an_encoder_goes_with_its_task():
+    """Without the garbage collector: a worker would otherwise hold the encoders of several tasks."""
+    enc = tokens.ChunkEncoder()
+    assert enc.encode("ok 日本") == enc.whole("ok 日本")
+    gone = weakref.ref(enc)
+    del enc
+    assert gone() is None
+
+
 def test_every_id_is_the_librarys(spark):
     """op4 and op6 over a whole table, against one plain call of the library for each document."""
     library = tokens.Tokenizer.from_file(tokens.DEFAULT_FILE)
