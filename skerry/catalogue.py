@@ -497,7 +497,8 @@ _FEEDS = f"""(SELECT s_suppkey AS id, s_name AS name,
   CASE WHEN s_suppkey % 5 = 1 THEN 'w' || s_suppkey % 3 END AS worker_id,
   CASE WHEN s_suppkey % 5 <> 0 THEN TIMESTAMP '{NOW}' - to_seconds(s_suppkey % 200) END AS last_heartbeat,
   CASE WHEN s_suppkey % 5 = 2 AND s_suppkey % 4 > 0 THEN TIMESTAMP '{NOW}' + to_seconds((s_suppkey % 4 - 2) * 60) END AS retry_after,
-  s_suppkey % 7 AS failure_count, s_suppkey % 4 AS fencing_token FROM supplier)"""
+  s_suppkey % 7 AS failure_count, s_suppkey % 4 AS fencing_token, 'type' || s_nationkey % 3 AS source_type,
+  CASE WHEN s_suppkey % 3 > 0 THEN 'f' || s_suppkey || '.flac' END AS last_processed_filename FROM supplier)"""
 
 
 def feeds(spark, sf_dir):
@@ -514,6 +515,8 @@ def feeds(spark, sf_dir):
         F.when((key % 5 == 2) & (key % 4 > 0), now + later).alias("retry_after"),
         (key % 7).alias("failure_count"),
         (key % 4).alias("fencing_token"),
+        F.concat(F.lit("type"), (F.col("s_nationkey") % 3).cast("string")).alias("source_type"),
+        F.when(key % 3 > 0, F.concat(F.lit("f"), key.cast("string"), F.lit(".flac"))).alias("last_processed_filename"),
     )
 
 
@@ -534,7 +537,7 @@ def _urls(spark, sf_dir):
 
 
 @query(
-    f"""SELECT id, 'active' AS status, 'me' AS worker_id, fencing_token + 1 AS fencing_token, failure_count, stream_url
+    f"""SELECT id, 'active' AS status, 'me' AS worker_id, fencing_token + 1 AS fencing_token, failure_count, name, source_type, last_processed_filename, stream_url
         FROM (SELECT * FROM {_FEEDS} WHERE {_ELIGIBLE} {_PRIORITY} LIMIT 25) LEFT JOIN {_URLS} USING (id)"""
 )
 def lease_acquire(spark, sf_dir):

@@ -11,7 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from skerry.config import ReorderConfig, StitchConfig
-from skerry.functions.kernels import GapMax, Reorder, Stitch, TtlFirst
+from skerry.functions.kernels import Reorder, Stitch
+from skerry.operators import orbits
+from skerry.sources import scratch
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -57,28 +59,21 @@ def gap_sessions(df: DataFrame, key: str, ts: str, gap: int) -> DataFrame:
 
 
 def gap_max_sessions(df: DataFrame, key: str, ts: str, gap: int, longest: int) -> DataFrame:
-    """(key, session, start, end, n) where a session also ends once it would last ``longest``."""
-
-    def make():
-        kernel = GapMax(gap, longest)
-        return (lambda r: [dict(zip(("session", "start_ms"), kernel.on_row(r[ts]), strict=True), ts=r[ts])]), (lambda: [])
-
-    rows = fold(df.select(key, ts), [key], [ts], make, f"{key} long, session long, start_ms long, ts long")
-    return rows.groupBy(key, "session").agg(
-        F.min("ts").alias("start_ms"), F.max("ts").alias("end_ms"), F.count(F.lit(1)).alias("n_rows")
+    """(key, session, start_ms, end_ms, n_rows) where a session also ends once it would last ``longest``.  Rows without a
+    time are in no session.
+    """
+    parts = orbits.sessions(df, [key], ts, longest, gap)
+    return parts.groupBy(key, F.col("_session").alias("session")).agg(
+        F.min("_start").alias("start_ms"), F.max("_end").alias("end_ms"), F.sum("_n").alias("n_rows")
     )
 
 
 def ttl_first(df: DataFrame, keys: list[str], ts: str, ttl: int, *carry: str) -> DataFrame:
-    """The rows that pass a set-if-absent with a time to live."""
-
-    def make():
-        kernel = TtlFirst(ttl)
-        return (lambda r: [{c: r[c] for c in (ts, *carry)}] if kernel.on_row(r[ts]) else []), (lambda: [])
-
-    picked = df.select(*keys, ts, *carry)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields)
-    return fold(picked, keys, [ts, *carry], make, schema)
+    """The rows that pass a set-if-absent with a time to live, in the order of ``ts`` and ``carry``.  Rows without a time
+    don't pass.
+    """
+    parts = orbits.sessions(df, keys, ts, ttl, carry=carry)
+    return parts.where("_begins").select(*keys, F.col("_start").alias(ts), *carry)
 
 
 def reorder(chunks: DataFrame, config: ReorderConfig | None = None) -> DataFrame:
@@ -162,40 +157,61 @@ def hangover(df: DataFrame, key: str, order: list[str], flag: str, rows: int) ->
     return df.withColumn("held", F.max(flag).over(w))
 
 
-#: Ranges that rows are numbered in, and parts of a range of equal keys.
-RANGES, PARTS = 256, 64
+_ROW_BITS = 33  # of the ids that Spark numbers the rows of a partition by
+
+
+def _ranged(df: DataFrame, order: list[Column], own: str) -> tuple[DataFrame, Column, Column]:
+    """``df`` in ranges of ``order``, each one sorted and a partition, written once; the number of a row's range, and its
+    place there.  Equal rows are told apart by a number of their own, so they can fill several ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*order, F.col(own).asc()]
+    numbers = F.monotonically_increasing_id()
+    dealt = df.withColumn(own, numbers).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(own, numbers)
+    return scratch.written(dealt, "ranges"), F.shiftright(own, _ROW_BITS), F.col(own).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+
+
+def _before(ranged: DataFrame, part: Column, amount: Column) -> DataFrame:
+    """(_p, _start): what the ranges before a range sum up to; one row a range."""
+    sums = ranged.groupBy(part.alias("_p")).agg(F.sum(amount).alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sums.select("_p", (F.sum("_n").over(w) - F.col("_n")).alias("_start"))
+
+
+def _order(df: DataFrame, order: list[str | Column]) -> list[Column]:
+    """The order given, then the other columns (first their hash), null first throughout."""
+    given = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
+    named = [c for c in order if isinstance(c, str)]
+    rest = [c for c in df.columns if c not in named]
+    return [*given, *([F.xxhash64(*rest)] if rest else []), *[F.col(c).asc_nulls_first() for c in rest]]
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with ``number`` from 0 in the order of ``key`` (null first; ties by the other columns' hash, then by
-    those columns), without one task for all rows.
+def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> DataFrame:
+    """``df`` with ``number`` from 0 in the order given (columns: null first; ties by the other columns' hash, then by
+    those columns, so only equal rows are left to chance), without one task for all rows.
 
-    Rows are dealt out to ranges between percentiles of the key, however sparse it is; a key that fills a
-    percentile is a range of its own and is cut in parts by hash.  Rows are numbered inside those, and their
-    sizes (at most ``2 * RANGES * PARTS`` rows) are summed up.  A column ``number`` is replaced.
+    One shuffle into ranges of any sortable key, written once to the shared folder; what stands before a range is the sum
+    of one count for each range, and a row's place in its range is known from its partition.  A column ``number`` is
+    replaced; an empty table stays empty.
     """
-    df = df.drop("number")
-    others = [c for c in df.columns if c != key]
-    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    bounds = sorted(set(df.agg(F.percentile_approx(key, shares, F.lit(20 * RANGES))).first()[0] or []))
-    at, part, tie = unused(df, "_at"), unused(df, "_part"), unused(df, "_tie")
-    known = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{df.schema[key].dataType.simpleString()}>")
-    below = F.size(F.filter(known, lambda b: b < F.col(key)))
-    equal = F.array_contains(known, F.col(key))
-    cell = F.when(F.col(key).isNull(), -1).when(equal, 2 * below + 1).otherwise(2 * below)
-    hashed = F.xxhash64(*others) if others else F.lit(0).cast("long")
-    parted = F.when(F.col(key).isNull() | equal, F.pmod(hashed, F.lit(PARTS))).otherwise(0)
-    dealt = df.withColumns({at: cell, tie: hashed}).withColumn(part, parted.cast("int"))
-    sizes = dealt.groupBy(at, part).agg(F.count(F.lit(1)).alias("_n"))
-    start = F.sum("_n").over(Window.orderBy("_a", "_p")) - F.col("_n")
-    starts = sizes.select(F.col(at).alias("_a"), F.col(part).alias("_p"), "_n").select("_a", "_p", start.alias("_start"))
-    w = Window.partitionBy("_a", "_p").orderBy(F.col(f"_row.{key}").asc_nulls_first(), "_tie", *[F.col(f"_row.{c}") for c in others])
-    rows = dealt.select(
-        F.struct(*df.columns).alias("_row"), F.col(at).alias("_at"), F.col(part).alias("_part"), F.col(tie).alias("_tie")
-    )
-    return rows.join(F.broadcast(starts), (F.col("_at") == F.col("_a")) & (F.col("_part") == F.col("_p"))).select(
-        "_row.*", (F.col("_start") + F.row_number().over(w) - 1).alias("number")
-    )
+    df = df.drop(name)
+    own = unused(df, "_own")
+    ranged, part, place = _ranged(df, _order(df, list(order)), own)
+    starts = F.broadcast(_before(ranged, part, F.lit(1)))  # one row a range
+    return ranged.join(starts, part == F.col("_p")).select(*df.columns, (F.col("_start") + place).cast("long").alias(name))
+
+
+def running_total(df: DataFrame, amount: str, *order: str | Column, name: str = "before") -> DataFrame:
+    """``df`` with ``before``, the sum of ``amount`` (null: 0) over the rows before in the order given, as in
+    ``numbered``; sums inside a range are windows over that range.
+    """
+    df = df.drop(name)
+    own, at, given = unused(df, "_own"), unused(df, "_at"), F.coalesce(F.col(amount), F.lit(0)).cast("long")
+    ranged, part, _ = _ranged(df, _order(df, list(order)), own)
+    starts = F.broadcast(_before(ranged, part, given))  # one row a range
+    inside = F.sum(given).over(Window.partitionBy(at).orderBy(own).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranged.withColumn(at, part).withColumn(name, inside - given)
+    return placed.join(starts, F.col(at) == F.col("_p")).select(*df.columns, (F.col("_start") + F.col(name)).alias(name))
 
 
 def merged_by_place(left: DataFrame, right: DataFrame, key: str, same: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skerry.config import LeaseConfig
 from skerry.functions import columns as C
+from skerry.operators import streams
 
 
 @dataclass(frozen=True)
@@ -96,34 +97,71 @@ def dead_letters(checked: DataFrame, feed: Column, stage: str) -> DataFrame:
     )
 
 
-def lease(feeds: DataFrame, properties: DataFrame, worker: str, now: Column, c: LeaseConfig) -> DataFrame:
-    """The feeds a worker gets: eligible ones by priority, up to its limit, with their new state and url."""
+def eligible(now: Column, c: LeaseConfig) -> Column:
+    """Whether a feed may be leased: unclaimed, failing and due again, or active with a heartbeat that is too old."""
     stale = now - F.make_dt_interval(secs=F.lit(c.abandoned_s))
-    eligible = (
+    return (
         (F.col("status") == "unclaimed")
         | ((F.col("status") == "failing") & (F.col("retry_after").isNull() | (F.col("retry_after") <= now)))
         | ((F.col("status") == "active") & (F.col("last_heartbeat") < stale))
     )
-    top = (
-        feeds.where(eligible)
-        .orderBy(
-            (F.col("status") == "unclaimed").desc(),
-            F.col("retry_after").asc_nulls_first(),
-            F.col("last_heartbeat").asc_nulls_first(),
-            "id",
-        )
-        .limit(c.limit)
-    )
-    return top.select(
+
+
+def priority() -> list[Column]:
+    """The order that feeds are leased in; ties go by ``id``."""
+    return [
+        (F.col("status") == "unclaimed").desc(),
+        F.col("retry_after").asc_nulls_first(),
+        F.col("last_heartbeat").asc_nulls_first(),
+        F.col("id").asc(),
+    ]
+
+
+def _leased(feeds: DataFrame, properties: DataFrame, worker: Column, now: Column) -> DataFrame:
+    """The answer to a lease: new state, and what a worker resumes from, where ``feeds`` has it."""
+    kept = [c for c in ("name", "source_type", "last_processed_filename") if c in feeds.columns]
+    return feeds.select(
         "id",
         F.lit("active").alias("status"),
-        F.lit(worker).alias("worker_id"),
+        worker.alias("worker_id"),
         now.alias("last_heartbeat"),
         (F.col("fencing_token") + 1).alias("fencing_token"),
         "failure_count",
+        *kept,
     ).join(properties, "id", "left")
 
 
+def lease(feeds: DataFrame, properties: DataFrame, worker: str, now: Column, c: LeaseConfig) -> DataFrame:
+    """The feeds a worker gets: eligible ones by priority, up to its limit, with their new state, name, source type, last
+    file and url.
+    """
+    top = feeds.where(eligible(now, c)).orderBy(*priority()).limit(c.limit)
+    return _leased(top, properties, F.lit(worker), now)
+
+
+def allocate(feeds: DataFrame, workers: DataFrame, properties: DataFrame, now: Column, c: LeaseConfig) -> DataFrame:
+    """The feeds that each of many workers gets, as if they took their turns: ``workers`` (worker_id, capacity, turn) in
+    the order of ``turn``, null first, ties by ``worker_id``; each takes up to its capacity of the eligible feeds that are
+    left, by priority.  The rows are those of ``lease``.
+
+    Feeds are numbered by priority over ranges, capacities become places by a running total over ranges, and both meet in
+    a join on the place: no task holds all feeds or all workers, and no feed has two.  A capacity that is null or below 1
+    gets nothing; feeds beyond all capacities and capacity beyond all feeds stay unused.
+    """
+    ranked = streams.numbered(feeds.where(eligible(now, c)), *priority(), name="_place")
+    n = ranked.agg(F.count(F.lit(1)).alias("_feeds"))
+    room = workers.select("worker_id", F.greatest(F.coalesce("capacity", F.lit(0)), F.lit(0)).cast("long").alias("_room"), "turn")
+    placed = streams.running_total(room, "_room", "turn", "worker_id", name="_first")
+    last = F.least(F.col("_first") + F.col("_room"), F.col("_feeds")) - 1
+    places = (
+        placed.crossJoin(F.broadcast(n))  # one row: the number of feeds
+        .where(last >= F.col("_first"))
+        .select("worker_id", F.explode(F.sequence(F.col("_first"), last)).alias("_place"))
+    )
+    taken = ranked.drop("worker_id").join(places, "_place")
+    return _leased(taken, properties, F.col("worker_id"), now)
+
+
 def apply_lease(feeds: DataFrame, leased: DataFrame) -> DataFrame:
     """The state table after a lease."""
     got = leased.select(
@@ -204,9 +242,10 @@ def tolerance_first(left: DataFrame, right: DataFrame, key: str, a: str, b: str,
 
 def with_default(left: DataFrame, right: DataFrame, key: str, value: str, default: Column) -> DataFrame:
     """``left`` with ``value`` of the row of ``right`` with its key as text, or ``default``; ``unmatched`` tells
-    whether there is such a row.
+    whether there is such a row.  Of several rows with a key the greatest text counts, so ``left`` keeps its rows; a null
+    key matches none.
     """
-    side = right.select(key, F.col(value).cast("string").alias("_value"), F.lit(True).alias("_hit"))
+    side = right.groupBy(key).agg(F.max(F.col(value).cast("string")).alias("_value"), F.lit(True).alias("_hit"))
     return left.join(side, key, "left").select(
         *left.columns, F.coalesce("_value", default).alias(value), F.col("_hit").isNull().alias("unmatched")
     )
@@ -302,10 +341,9 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def violations(feeds: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, rule) for every broken constraint of the feed table."""
-    w = Window.partitionBy("name")
-    bad = feeds.withColumn("_same", F.count(F.lit(1)).over(w)).join(
-        sources.select(F.col("slug").alias("source_type"), F.lit(True).alias("_known")), "source_type", "left"
-    )
+    names = feeds.where(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("_same"))
+    known = sources.select(F.col("slug").alias("source_type"), F.lit(True).alias("_known")).distinct()
+    bad = feeds.join(names, "name", "left").join(known, "source_type", "left")
     checks = {
         "null name": F.col("name").isNull(),
         "name not unique": F.col("name").isNotNull() & (F.col("_same") > 1),
