@@ -743,22 +743,23 @@ def text_normalise(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Every turn with two predictions of it: the turn after it, and its own words but the short ones."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred_text_reply"))
-    short = F.regexp_replace("text", "(^| )[a-z]{1,3}( |$)", " ")
-    return turns.withColumn("pred_text_long", short).join(after, ["conv_id", "turn"])
+    """Every turn with two predictions of it: the turn after it (empty for the last), and its own words but the short ones."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.lead("text").over(w), F.lit("")).alias("pred_text_reply")
+    )
+    return turns.withColumn("pred_text_long", F.regexp_replace("text", "(^| )[a-z]{1,3}( |$)", " "))
 
 
+_TURNS = """(SELECT conv_id, turn, coalesce(text, '') AS text,
+  coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST), '') AS reply FROM conversations)"""
 # costs and counts of an alignment in one number: cost, hits, substitutions, deletions, insertions
 _HIT, _SUB, _DEL, _INS = 1 << 36, (1 << 48) + (1 << 24), (1 << 48) + (1 << 12), (1 << 48) + 1
 _WORDS = "list_filter(string_split({t}, ' '), lambda w: w <> '')"
 _ERRORS = f"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, max(text) AS text FROM conversations GROUP BY conv_id, turn),
-q AS (
-  SELECT conv_id, turn, t.text, unnest(['long', 'reply']) AS model,
-         unnest([regexp_replace(t.text, '(^| )[a-z]{{1,3}}( |$)', ' ', 'g'), a.text]) AS said
-  FROM t JOIN (SELECT conv_id, turn - 1 AS turn, text FROM t) a USING (conv_id, turn)),
+WITH RECURSIVE q AS (
+  SELECT conv_id, turn, text, unnest(['long', 'reply']) AS model,
+         unnest([regexp_replace(text, '(^| )[a-z]{{1,3}}( |$)', ' ', 'g'), reply]) AS said FROM {_TURNS}),
 m AS (
   SELECT conv_id, turn, model, {_NORMAL.format(t="coalesce(text, '')")} AS text, {_NORMAL.format(t="coalesce(said, '')")} AS said FROM q),
 p AS (SELECT conv_id, turn, model, {_WORDS.format(t="text")} AS a, {_WORDS.format(t="said")} AS b FROM m),
@@ -796,8 +797,8 @@ def wer_leaderboard(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn, CAST(list_reduce(list_prepend(0, list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: CASE WHEN a[i] IS NOT DISTINCT FROM b[i] THEN 0 ELSE 1 END)), lambda x, y: x + y) AS BIGINT) AS n_differences,
-       CAST(len(a) AS BIGINT) AS n_words FROM (SELECT conv_id, turn, string_split(t.text, ' ') AS a, string_split(n.text, ' ') AS b FROM conversations t JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations) n USING (conv_id, turn))"""
+    f"""SELECT conv_id, turn, CAST(list_reduce(list_prepend(0, list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: CASE WHEN a[i] IS NOT DISTINCT FROM b[i] THEN 0 ELSE 1 END)), lambda x, y: x + y) AS BIGINT) AS n_differences,
+       CAST(len(a) AS BIGINT) AS n_words FROM (SELECT conv_id, turn, string_split(text, ' ') AS a, string_split(reply, ' ') AS b FROM {_TURNS})"""
 )
 def positional_differences(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).select(
@@ -950,9 +951,8 @@ _GROUP = f"""concat_ws(' ', CASE WHEN n >= 100 THEN {_ONES}[n // 100 + 1] || ' h
 
 @query(f"""
 WITH p AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+|[^0-9]+')) AS p,
-         generate_subscripts(regexp_extract_all(text, '[0-9]+|[^0-9]+'), 1) AS k
-  FROM documents WHERE regexp_matches(text, '[0-9]')),
+  SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS k
+  FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [''] ELSE regexp_extract_all(text, '[0-9]+|[^0-9]+') END AS p FROM documents)),
 d AS (SELECT DISTINCT p FROM p WHERE regexp_matches(p, '^[0-9]') AND length(p) <= 21),
 n AS (
   SELECT p, g, CAST(substr(lpad(p, 21, '0'), 3 * g - 2, 3) AS INT) AS n FROM d, (SELECT unnest(range(1, 8)) AS g)),
@@ -963,8 +963,8 @@ SELECT doc_id, string_agg(coalesce(said, CASE WHEN regexp_matches(p.p, '^[0-9]')
 FROM p LEFT JOIN w ON w.p = p.p GROUP BY doc_id
 """)
 def digits_to_words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
-    return docs.select("doc_id", C.digits_to_words(F.col("text")).alias("said"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", C.digits_to_words(F.coalesce("text", F.lit(""))).alias("said"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN props END AS payload FROM events")
@@ -1040,10 +1040,9 @@ def sampled_streams(spark, sf_dir):
     return nested.sampled(table(spark, sf_dir, "events").select("event_id"), "event_id", 500, 11)
 
 
-@query("SELECT doc_id, replace(url_encode(text), '%2F', '/') AS quoted FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, replace(url_encode(text), '%2F', '/') AS quoted FROM documents")
 def url_quoting(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return docs.select("doc_id", remote.url_quoted(F.col("text")).alias("quoted"))
+    return table(spark, sf_dir, "documents").select("doc_id", remote.url_quoted(F.col("text")).alias("quoted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
