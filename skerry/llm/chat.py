@@ -1,8 +1,8 @@
 """Conversations as training text, assembled column by column.
 
-Turns are written as ``<s>[ROLE] text </s>``.  Every ``<``, ``[`` and backslash of a role or text gets a
-backslash after it, so no control string can occur inside one, and taking those backslashes away gives the
-text back.  A batch of turns is laid out by numpy: the lengths of all segments, their running sums, and one
+Turns are written as ``<s>[ROLE] text </s>``.  Every ``<``, ``[`` and backslash of a role or text, and every ``]``
+of a role, gets a backslash after it, so no control string can occur inside one, and taking those backslashes away
+gives the text back.  A batch of turns is laid out by numpy: the lengths of all segments, their running sums, and one
 scatter of headers, bodies and footers into a single buffer that becomes the Arrow column.
 """
 
@@ -21,16 +21,17 @@ from skerry.llm.words import buffers
 
 OPEN, MIDDLE, CLOSE = b"<s>[", b"] ", b" </s>"
 MARKED = np.array([chr(b) in "<[\\" for b in range(256)])
+MARKED_ROLE = np.array([chr(b) in "<[\\]" for b in range(256)])
 TRAINED_ROLE = "assistant"
 #: Bytes after which a conversation is continued in a further part.
 PART_BYTES = 1 << 24
-UNESCAPE = re.compile(rb"([<\[\\])\\")
-TURN = re.compile(rb"<s>\[((?:[^\]<\[\\]|[<\[\\]\\|\](?! ))*)\] ((?:[^<\[\\]|[<\[\\]\\)*) </s>", re.S)
+UNESCAPE, UNESCAPE_ROLE = re.compile(rb"([<\[\\])\\"), re.compile(rb"([<\[\\\]])\\")
+TURN = re.compile(rb"<s>\[((?:[^\]<\[\\]|[<\[\\\]]\\)*)\] ((?:[^<\[\\]|[<\[\\]\\)*) </s>", re.S)
 
 
-def escape(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def escape(data: np.ndarray, bounds: np.ndarray, marked: np.ndarray = MARKED) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds) with a backslash after each marked byte."""
-    times = MARKED[data].astype(np.int64) + 1
+    times = marked[data].astype(np.int64) + 1
     ends = np.concatenate(([0], np.cumsum(times)))
     out = np.full(ends[-1], ord("\\"), np.uint8)
     out[ends[:-1]] = data
@@ -46,7 +47,7 @@ def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Ar
     the bytes of each turn's text inside its conversation's formatted bytes.
     """
     n = len(roles)
-    role, role_at = escape(*buffers(roles))
+    role, role_at = escape(*buffers(roles), MARKED_ROLE)
     body, body_at = escape(*buffers(texts))
     sources = np.concatenate((np.frombuffer(OPEN + MIDDLE + CLOSE, np.uint8), role, body))
     fixed = np.cumsum([0, len(OPEN), len(MIDDLE), len(CLOSE)])
@@ -177,7 +178,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:
     """(role, text) of the turns of formatted bytes."""
-    return [(unescape(r), unescape(t)) for r, t in TURN.findall(formatted)]
+    return [(UNESCAPE_ROLE.sub(rb"\1", r), unescape(t)) for r, t in TURN.findall(formatted)]
 
 
 DIGESTS = (

@@ -233,26 +233,26 @@ def build(items: DataFrame) -> list[str]:
         return sorted(map(uri, cut(index, "index", keep=True).inputFiles()))
 
 
-_held: dict[str, list[Index]] = {}
+_held: dict[str, tuple[int, list[Index]]] = {}
 
 
 def _indexes(files: list[str]) -> Iterator[Index]:
-    """The parts one after the other; those that fit in ``HELD_BYTES`` stay in this worker."""
+    """The parts one after the other; those that fit in ``HELD_BYTES`` together stay in this worker, the others are read
+    again for the next batch.
+    """
     for gone in _held.keys() - set(files):
         del _held[gone]
-    size = 0
     for name in files:
-        if name not in _held:
-            store, path = fs.FileSystem.from_uri(name)
-            with store.open_input_file(path) as f:
-                images = pq.read_table(f, columns=["image"]).column(0).to_pylist()
-            size += sum(map(len, images))
-            found = [pickle.loads(image) for image in images]
-            if size > HELD_BYTES:
-                yield from found
-                continue
-            _held[name] = found
-        yield from _held[name]
+        if name in _held:
+            yield from _held[name][1]
+            continue
+        store, path = fs.FileSystem.from_uri(name)
+        with store.open_input_file(path) as f:
+            images = pq.read_table(f, columns=["image"]).column(0).to_pylist()
+        size, found = sum(map(len, images)), [pickle.loads(image) for image in images]
+        if size + sum(n for n, _ in _held.values()) <= HELD_BYTES:
+            _held[name] = (size, found)
+        yield from found
 
 
 def _best(files: list[str], texts: pa.Array) -> list[tuple[int, int | None, float, float, float]]:

@@ -2,7 +2,7 @@
 
 A block of ids keeps its minimum and packs the differences at the width that a percentile of them needs; the
 few wider ones leave their high bits in an exception list.  Each file holds whole documents, a table of their
-lengths, and an index of where every block starts, so that a reader can decode any block alone.
+lengths, and an index of where every block starts; ``File`` decodes any block or document alone through it.
 """
 
 from __future__ import annotations
@@ -148,6 +148,100 @@ def read_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], lengths, ids
 
 
+class File:
+    """One file, read in pieces: the tables of documents and blocks, then only the blocks that are asked for.
+
+    ``source`` is a seekable binary file.
+    """
+
+    def __init__(self, source):
+        self.source = source
+        source.seek(0)
+        magic, docs, self.n, blocks, self.words, self.exceptions = HEADER.unpack(source.read(HEADER.size))
+        if magic != MAGIC:
+            raise ValueError("not a file of this format")
+        at = HEADER.size
+
+        def part(kind, size: int) -> np.ndarray:
+            nonlocal at
+            found = np.frombuffer(source.read(np.dtype(kind).itemsize * size), kind)
+            at += found.nbytes
+            return found
+
+        doc_ids, known, self.lengths = part(np.int64, docs), part(np.uint8, docs), part(np.int64, docs)
+        self.doc_ids = [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)]
+        self.starts, self.first = part(np.uint64, blocks + 1).astype(np.int64), part(np.uint64, blocks + 1).astype(np.int64)
+        self.least, self.width = part(np.uint32, blocks), part(np.uint8, blocks)
+        self.packed_at = at
+        self.where_at = at + 8 * self.words
+        self.high_at = self.where_at + 2 * self.exceptions
+        self.ends = np.cumsum(self.lengths)
+
+    def _piece(self, kind, at: int, a: int, b: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        self.source.seek(at + size * a)
+        return np.frombuffer(self.source.read(size * (b - a)), kind)
+
+    def blocks(self, a: int, b: int) -> np.ndarray:
+        """The ids of blocks ``a`` to ``b - 1``: three reads, where the index says."""
+        x, y = int(self.first[a]), int(self.first[b])
+        return decode_blocks(
+            Blocks(
+                min(self.n, b * BLOCK) - a * BLOCK,
+                self.least[a:b],
+                self.width[a:b],
+                self.first[a : b + 1] - x,
+                self._piece(np.uint64, self.packed_at, int(self.starts[a]), int(self.starts[b])),
+                self._piece(np.uint16, self.where_at, x, y),
+                self._piece(np.uint32, self.high_at, x, y),
+            )
+        )
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the file's document number ``i``, from the blocks that hold them."""
+        end = int(self.ends[i])
+        start = end - int(self.lengths[i])
+        if start == end:
+            return np.zeros(0, np.uint32)
+        a = start // BLOCK
+        return self.blocks(a, -(-end // BLOCK))[start - a * BLOCK : end - a * BLOCK]
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            store, _ = fs.FileSystem.from_uri(row["store"])
+            with store.open_input_file(row["path"]) as f:
+                doc_ids = File(f).doc_ids
+            n = len(doc_ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_ids, pa.int64()), pa.array([row["store"]] * n), pa.array([row["path"]] * n), pa.array(range(n), pa.int64())],
+                names=["doc_id", "store", "path", "place"],
+            )
+
+
+def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            store, _ = fs.FileSystem.from_uri(row["store"])
+            with store.open_input_file(row["path"]) as f:
+                file = File(f)
+                found = [(file.doc_ids[i], file.document(i).tolist()) for i in sorted(row["places"])]
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+
+def find_ids(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents in ``wanted`` (``doc_id``), each as often as it was written; null ids aren't found.
+
+    The files' tables of documents are joined with what is wanted; then only the blocks of those documents are read.
+    """
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    listed = manifest.select("store", "path").mapInArrow(_listed, "doc_id long, store string, path string, place long")
+    files = listed.join(asked, "doc_id").groupBy("store", "path").agg(F.collect_list("place").alias("places"))  # of one file
+    return files.mapInArrow(_finder, "doc_id long, ids array<long>")
+
+
 MANIFEST = "part int, file int, path string, n_docs long, n_tokens long"
 
 

@@ -95,6 +95,15 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does to all documents, from the stored ledger."""
+    ledger = rules.stored(rules.rule_ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    first, *others = [rules.ablation(ledger, policy) for policy in rules.POLICIES]
+    for more in others:
+        first = first.unionByName(more)
+    return first
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -140,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ppm": op7_ppm,
         "op8_wrapper": op8_wrapper,
         "op9_rule_ledger": op9_rule_ledger,
+        "rule_ablation": rule_ablation,
         "op10_chat": op10_chat,
         "op11_repair": op11_repair,
         "op12_url_filter": op12_url_filter,
@@ -185,13 +195,26 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+_RULE_BITS = {
+    "base": {"few_words": 1, "repeated_words": 2},
+    "v1": {"few_words": 1, "repeated_words": 2, "symbols": 4, "repeated_lines": 8},
+    "v2": {"few_words": 1, "repeated_words": 2, "symbols": 4, "repeated_lines": 8, "word_length": 16, "shouting": 32},
+}
+ABLATION_SQL = " UNION ALL ".join(
+    f"""SELECT '{policy}' AS policy_version, count(*) AS n_rows, '{rule}' AS rule, count(*) FILTER (fail_bits & {bit} <> 0) AS n_failed,
+        count(*) FILTER (fail_bits & {sum(bits.values())} = {bit}) AS n_only FROM ({OP9_SQL})"""
+    for policy, bits in _RULE_BITS.items()
+    for rule, bit in bits.items()
+)
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 x AS (
-  SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^<\[\\]', '', 'g')) + 11 AS n FROM t)
+  SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^<\[\\]', '', 'g'))
+            + length(regexp_replace(role, '[^\]]', '', 'g')) + 11 AS n FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -397,6 +420,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_jump_hash": OP3_SQL,
         "op9_rule_ledger": OP9_SQL,
+        "rule_ablation": ABLATION_SQL,
         "op10_chat": OP10_SQL,
         "op11_repair": OP11_SQL,
         "op12_url_filter": OP12_SQL,

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm.storage import cut
+
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts")
 
@@ -132,7 +134,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rule_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with measurements and ``fail_bits`` (bit i: rule i of ``RULES`` fails).  No shuffle."""
+    """``docs`` with measurements and ``fail_bits`` (bit i: rule i of ``RULES`` fails).  No shuffle.
+
+    Null and empty texts measure 0 and fail ``few_words``; repeated rows have equal entries; an empty table stays empty.
+    """
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
@@ -149,11 +154,18 @@ def apply_policy(ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows whose text passes the policy, with the columns they came with."""
+    """The rows whose text passes the policy, with the columns they came with: null and empty texts go, repeated rows share
+    their fate, an empty table stays empty.
+    """
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
     return rule_ledger(whole).where(passes(policy)).select("_row.*")
 
 
+def stored(ledger: DataFrame) -> DataFrame:
+    """The ledger, written once: policies and ablations read it again and no text."""
+    return cut(ledger, "ledger")
+
+
 def ablation(ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
     """Per rule of the policy: how many rows fail it, and how many would pass without it.
 

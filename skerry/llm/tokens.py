@@ -9,9 +9,11 @@ that the worker has not met lately; numpy puts the ids of the chunks where the t
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -65,12 +67,26 @@ class Memory:
         return self.known
 
 
+@cache
+def _cuts(path: str) -> str:
+    """How a tokenizer file cuts and writes texts before it merges."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model = {k: v for k, v in found["model"].items() if k not in ("vocab", "merges")}
+    return json.dumps([found["normalizer"], found["pre_tokenizer"], model], sort_keys=True)
+
+
 class ChunkEncoder:
-    """Ids as little-endian unsigned 32-bit bytes."""
+    """Ids as little-endian unsigned 32-bit bytes.
+
+    The pieces are those of ``DEFAULT_FILE``; with a file that normalises, cuts or merges otherwise every text is one plain
+    call of the library.
+    """
 
     def __init__(self, path: str = DEFAULT_FILE, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.path, self.library = path, None
+        self.plain = path != DEFAULT_FILE and _cuts(path) != _cuts(DEFAULT_FILE)
         # the same merges over pieces in lower case and byte letters
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = self.merges.post_processor = None
@@ -121,6 +137,8 @@ class ChunkEncoder:
         """Ids of whole texts; null counts as empty."""
         if texts.null_count:
             texts = texts.fill_null("")
+        if self.plain:
+            return [self.whole(t) for t in texts.to_pylist()]
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         first = split.offsets.to_numpy() - split.offsets[0].as_py()
         parts = split.flatten().dictionary_encode()
