@@ -462,16 +462,19 @@ def vector_rms(spark, sf_dir):
     )
 
 
+# arrays of 0 to 64 values; an index beyond the ends is reflected there as often as it takes
 @query("""
-WITH p AS (SELECT vec_id, list_transform(list_concat(list_concat(list_reverse(embedding[2:9]), embedding), list_reverse(embedding[len(embedding) - 8:len(embedding) - 1])),
-                  lambda v: CAST(v AS DOUBLE) * v) AS x FROM embeddings)
-SELECT vec_id, CAST(f AS INT) AS frame, round(sqrt(list_sum(x[f * 4 + 1:f * 4 + 16]) / 16), 6) AS rms
-FROM (SELECT vec_id, x, unnest(range(0, (len(x) - 16) // 4 + 1)) AS f FROM p)
+WITH e AS (SELECT vec_id, embedding[1:CAST(vec_id % 65 AS INT)] AS x, CAST(vec_id % 65 AS INT) AS n FROM embeddings WHERE vec_id % 65 > 0),
+p AS (
+  SELECT vec_id, n, list_transform(list_transform(range(-8, n + 8), lambda i: ((i % greatest(2 * n - 2, 1)) + greatest(2 * n - 2, 1)) % greatest(2 * n - 2, 1)),
+         lambda m: CAST(x[CAST(least(m, greatest(2 * n - 2, 1) - m) AS INT) + 1] AS DOUBLE) * x[CAST(least(m, greatest(2 * n - 2, 1) - m) AS INT) + 1]) AS y FROM e)
+SELECT vec_id, CAST(f AS INT) AS frame, round(sqrt(list_sum(y[f * 4 + 1:f * 4 + 16]) / 16), 6) AS rms
+FROM (SELECT vec_id, y, unnest(range(0, n // 4 + 1)) AS f FROM p)
 """)
 def framed_rms(spark, sf_dir):
-    frames = C.frame_rms(F.col("embedding"), 4, 16)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(frames).alias("frame", "rms"))
-    return rows.withColumn("rms", F.round("rms", 6))
+    arrays = table(spark, sf_dir, "embeddings").withColumn("x", F.slice("embedding", 1, (F.col("vec_id") % 65).cast("int")))
+    rows = signal.framed(arrays, "vec_id", "x", lambda x: signal.rms(x, 4, 16))
+    return rows.select("vec_id", "frame", F.round("value", 6).alias("rms"))
 
 
 @query("""

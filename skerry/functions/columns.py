@@ -86,20 +86,27 @@ def not_blank(text: Column) -> Column:
     return text.rlike(r"(?U)[^\s\x1C-\x1F]")
 
 
-def frame_rms(samples: Column, hop: int, frame: int) -> Column:
-    """Root mean square of every frame of an array, frames centred by reflection at the ends; null stays null.
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
-    The same as ``signal.rms`` for arrays of more than ``frame // 2`` samples, in SQL functions only.
-    """
-    half = frame // 2
-    x = F.transform(samples, lambda v: v.cast("double"))
-    padded = F.concat(F.reverse(F.slice(x, 2, half)), x, F.reverse(F.slice(x, F.size(x) - half, F.lit(half))))
-    starts = F.sequence(F.lit(0), F.floor((F.size(padded) - frame) / hop).cast("int"))
-    square = F.transform(padded, lambda v: v * v)
-    return F.transform(
-        starts,
-        lambda i: F.sqrt(F.aggregate(F.slice(square, i * hop + 1, F.lit(frame)), F.lit(0.0), lambda s, v: s + v) / frame),
-    )
+
+def swapped_prefix(path: Column, old: str, new: str) -> Column:
+    """A path below ``new`` instead of ``old``; one that isn't below ``old`` is an error."""
+    rest = F.substr(path, F.lit(len(old) + 1))
+    below = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit(new if not new or new.endswith("/") else f"{new}/"), rest))
+    return F.when(path.startswith(old), below).otherwise(F.raise_error(F.lit("audio outside the expected folder")))
+
+
+def slice_ms(samples: Column, rate: int, start_ms: Column, end_ms: Column) -> Column:
+    """The samples of [start, end), inside the array."""
+    n = F.size(samples)
+    a, b = (F.least(F.greatest(F.floor(t * rate / 1000), F.lit(0)), n).cast("int") for t in (start_ms, end_ms))
+    return F.slice(samples, a + 1, F.greatest(b - a, F.lit(0)))
+
+
+def duration_ms(samples: Column, rate: int) -> Column:
+    return F.floor(F.size(samples).cast("long") * 1000 / rate).cast("long")
 
 
 def frames_ms(values: Column, threshold: float, frame_ms: int) -> Column:

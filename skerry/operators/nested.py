@@ -39,9 +39,10 @@ def region_segments(tasks: DataFrame, audio: str, annotations: str) -> DataFrame
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key: the last in the order of ``order``."""
+    """One row for each key: the last in the order of ``order``, ties by the other columns."""
     others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_last")).select(key, "_last.*")
+    last = F.max(F.struct(F.col(order).alias("_order"), F.struct(*others).alias("_row"))).alias("_last")
+    return rows.groupBy(key).agg(last).select(key, "_last._row.*")
 
 
 def failed_results(results: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.config import GateConfig
+from skerry.functions import columns as C
 from skerry.functions.signal import gate
 from skerry.operators.tables import with_error
 
@@ -33,12 +34,13 @@ def write_manifest(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+# Fixed value: names of result files and of the segment in them.
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(example_id, segment, text) from result files ``transcripts_<example>__seg<nnn>.json``."""
     schema = "results array<struct<alternatives:array<struct<transcript:string>>>>"
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     said = F.transform("results", lambda r: F.get(r["alternatives"], 0)["transcript"])
-    clean = F.filter(F.transform(said, lambda t: F.trim(F.replace(t, F.lit("[BACKGROUND]"), F.lit("")))), lambda t: t != "")
+    clean = F.filter(F.transform(said, lambda t: C.stripped(F.replace(t, F.lit("[BACKGROUND]"), F.lit("")))), lambda t: t != "")
     return spark.read.schema(schema).json(path, multiLine=True).select(
         F.regexp_replace(F.regexp_extract(name, r"([^/]+)__seg(\d{3})", 1), "^transcripts_", "").alias("example_id"),
         F.regexp_extract(name, r"([^/]+)__seg(\d{3})", 2).alias("segment"),
@@ -46,32 +48,34 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def labelled_segments(spark: SparkSession, path: str, prefix: str) -> DataFrame:
-    """Segments of a labelling export: rows (audio, start, duration, text) of the first annotation.
+# Fixed value: the fields of a labelling export.
+EXPORT = (
+    "data struct<audio:string>, annotations array<struct<result:array<struct<id:string, from_name:string, "
+    "value:struct<start:double, end:double, text:array<string>>>>>>"
+)
 
-    A region with several texts or audio outside ``prefix`` is an error; blank or empty segments are left out.
+
+def labelled_segments(spark: SparkSession, path: str, prefix: str, new_prefix: str | None = None, lang: str = "en") -> DataFrame:
+    """``manifest_segments`` of a labelling export in JSON."""
+    return manifest_segments(spark.read.schema(EXPORT).json(path, multiLine=True), prefix, new_prefix, lang)
+
+
+def manifest_segments(tasks: DataFrame, prefix: str, new_prefix: str | None = None, lang: str = "en") -> DataFrame:
+    """Manifest rows (audio_filepath, offset, duration, text, lang) of the first annotation of each task.
+
+    Audio lies below ``new_prefix`` instead of ``prefix`` (without one, where it lay); audio outside ``prefix`` is an error,
+    with or without annotations, and so is a region with several texts.  Segments whose text is blank or missing, or that
+    last no time, are left out; a missing start or end is 0.
     """
-    schema = (
-        "data struct<audio:string>, annotations array<struct<result:array<struct<id:string, from_name:string, "
-        "value:struct<start:double, end:double, text:array<string>>>>>>"
-    )
-    tasks = spark.read.schema(schema).json(path, multiLine=True)
-    rows = tasks.select("data.audio", F.explode(F.get("annotations", 0)["result"]).alias("r"))
-    one = F.when(F.size("r.value.text") > 1, F.raise_error(F.lit("more than one text in a region"))).otherwise(
-        F.get("r.value.text", 0)
-    )
-    audio = F.when(F.col("audio").startswith(prefix), F.col("audio")).otherwise(
-        F.raise_error(F.lit("audio outside the expected folder"))
-    )
+    audio = C.swapped_prefix(F.col("data.audio"), prefix, prefix if new_prefix is None else new_prefix)
+    rows = tasks.select(audio.alias("audio_filepath"), F.get("annotations", 0)["result"].alias("_result"))
+    one = F.when(F.size("r.value.text") > 1, F.raise_error(F.lit("more than one text in a region"))).otherwise(F.get("r.value.text", 0))
+    start, end = (F.coalesce(f"r.value.{c}", F.lit(0.0)) for c in ("start", "end"))
+    found = rows.select("audio_filepath", F.explode("_result").alias("r")).where("r.from_name = 'transcription'")
     return (
-        rows.where("r.from_name = 'transcription'")
-        .select(
-            audio.alias("audio_filepath"),
-            F.round("r.value.start", 4).alias("offset"),
-            F.round(F.expr("r.value.end - r.value.start"), 4).alias("duration"),
-            one.alias("text"),
-        )
-        .where((F.col("duration") > 0) & (F.trim("text") != ""))
+        found.select("audio_filepath", start.alias("_start"), (end - start).alias("_length"), one.alias("text"))
+        .where((F.col("_length") > 0) & C.not_blank(F.col("text")))
+        .select("audio_filepath", F.round("_start", 4).alias("offset"), F.round("_length", 4).alias("duration"), "text", F.lit(lang).alias("lang"))
     )
 
 

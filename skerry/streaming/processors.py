@@ -15,21 +15,36 @@ from skerry.operators.streams import TRANSMISSION
 
 
 class TtlDedup(StatefulProcessor):
-    """First row of an id, again after ``ttl_ms`` of the rows' own time ``ts_ms``."""
+    """First row of an id, again after ``ttl_ms`` of the rows' own time ``ts_ms``.
+
+    An id's state lives until its time to live is over, both by its own time and since it was set: a timer on processing
+    time deletes it then, so the store holds the ids of one time to live, not all that were ever seen.  Where rows come
+    more slowly than their own time says, an id may so be let through again after ``ttl_ms`` of the clock.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.until = handle.getValueState("until", "until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kernel = TtlFirst(self.ttl, self.until.get()[0] if self.until.exists() else None)
+        before = self.until.get()[0] if self.until.exists() else None
+        kernel = TtlFirst(self.ttl, before)
         batch = pd.concat(list(rows)).sort_values("ts_ms", kind="stable")
         passed = [kernel.on_row(int(t)) for t in batch.ts_ms]
-        self.until.update((kernel.until,))
+        if kernel.until != before:
+            self.until.update((kernel.until,))
+            for due in self.handle.listTimers():
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(max(kernel.until, timerValues.getCurrentProcessingTimeInMs() + self.ttl))
         yield batch[passed]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.until.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -68,7 +83,10 @@ class Transmissions(StatefulProcessor):
     def _stitched(self, key, ready: list[dict], stitch: Stitch, meta: dict) -> list[dict]:
         out = []
         for r in ready:
-            length, segments = meta.pop(r["gcs_uri"], (0, []))
+            held = meta[r["gcs_uri"]]  # of a chunk and its repeat, what came first goes first
+            length, segments = held.pop(0)
+            if not held:
+                del meta[r["gcs_uri"]]
             if r["kind"] != "discarded":
                 out += stitch.on_chunk(r["gcs_uri"], r["event_ts_ms"], length, segments)
         return [{"feed_id": key[0]} | r for r in out]
@@ -83,7 +101,7 @@ class Transmissions(StatefulProcessor):
         out: list[dict] = []
         for r in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
             segments = [(int(s["start_ms"]), int(s["end_ms"])) for s in r["speech_segments"]]
-            meta[r["gcs_uri"]] = (int(r["duration_ms"]), segments)
+            meta.setdefault(r["gcs_uri"], []).append((int(r["duration_ms"]), segments))
             ready = reorder.on_chunk(int(r["event_ts_ms"]), r["gcs_uri"], r["session_id"], now)
             out += self._stitched(key, ready, stitch, meta)
         self._save(reorder, stitch, meta, now)
@@ -106,7 +124,7 @@ class Transmissions(StatefulProcessor):
 def dedup_stream(alerts: DataFrame, key: str, ttl_ms: int = 3_600_000) -> DataFrame:
     """A stream of alerts (with ``ts_ms``), the first of each id within its time to live."""
     return alerts.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=TtlDedup(ttl_ms), outputStructType=alerts.schema, outputMode="Append", timeMode="None"
+        statefulProcessor=TtlDedup(ttl_ms), outputStructType=alerts.schema, outputMode="Append", timeMode="ProcessingTime"
     )
 
 
