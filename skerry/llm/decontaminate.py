@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import words
-from skerry.llm.storage import cut, scratch, uri
+from skerry.llm.storage import cut, lean, scratch, uri
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -206,6 +206,7 @@ def _build(mean: float):
 def build(items: DataFrame) -> list[str]:
     """The files of an index of ``items`` (``item_id``, ``text``), built by tasks; none if no item has a word."""
     spark = items.sparkSession
+    lean(spark)
     with scratch(spark):
         known = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
         measured = known.where(F.col("text").isNotNull()).distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import words
-from skerry.llm.storage import fresh
+from skerry.llm.storage import fresh, lean
 
 ORDER = 4
 #: Training texts of a language, about; each goes in whole.
@@ -188,6 +188,7 @@ def predict(docs: DataFrame, model: Model, *carry: Column) -> DataFrame:
     slices of about a megabyte; a longer text is a slice of its own.  Ties go to the first language by name.
     Repeated rows score alike; an empty table gives no rows.
     """
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     picked = docs.select(*carry, F.col("text").cast("string").alias(fresh(docs, "_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import words
 from skerry.llm.graph import connected
-from skerry.llm.storage import cut, fresh, scratch
+from skerry.llm.storage import cut, fresh, lean, scratch
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a fraction
@@ -290,6 +290,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("text").cast("string").alias("text"),
     )
     spark = docs.sparkSession
+    lean(spark)
     with scratch(spark):
         prints = cut(columns.mapInArrow(_fingerprint, FINGERPRINT), "prints", keep=True)
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")

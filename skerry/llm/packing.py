@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import tokens, words
-from skerry.llm.storage import cut
+from skerry.llm.storage import cut, lean
 
 CAPACITY = 2048
 OPEN_BINS = 512
@@ -127,6 +127,7 @@ def pack(
     Null and empty texts are one piece, the end id alone.  Repeated rows are packed as often as they occur.
     Extra columns are not carried.  An empty table gives no rows.
     """
+    lean(docs.sparkSession)
     pieces = cut(text_pieces(docs, capacity, end_id, tokenizer), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, round(total / IDS_PER_TASK))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import tokens, words
-from skerry.llm.storage import cut, new_path, uri
+from skerry.llm.storage import cut, lean, new_path, uri
 
 MAGIC = b"PFOR0001"
 BLOCK = 1024
@@ -302,6 +302,7 @@ def write_ids(
     name and renamed; a task that runs again replaces them by the same bytes.
     """
     spark = docs.sparkSession
+    lean(spark)
     folder = uri(folder or new_path(spark, "pfor"))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,18 @@ _local: dict[str, str] = {}
 _scopes: list[list[str]] = []
 
 
+#: Bytes of the batches that workers get: texts are long, and a batch is held several times over on its way.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Let this session hand workers batches of ``BATCH_BYTES`` at most, if it would hand them larger ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name, "") or "")
+    if now is None or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a
     temporary folder.
