@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skerry.config import LeaseConfig, StitchConfig
 from skerry.functions import columns as C
 from skerry.functions import signal
-from skerry.operators import nested, rules, streams, tables, words
+from skerry.operators import nested, quantiles, rules, streams, tables, words
 from skerry.operators.tables import Rule
 from skerry.sources import files, remote
 
@@ -439,13 +439,10 @@ def forward_hangover(spark, sf_dir):
     return streams.hangover(_hot(spark, sf_dir), "user_id", ["ms", "event_id"], "hot", 3).select("event_id", "held")
 
 
-@query("SELECT user_id, round(quantile_cont(value, 0.1), 6) AS floor_p10, count(*) AS n_rows FROM events GROUP BY user_id")
+@query("SELECT user_id, round(quantile_cont(value, 0.1), 6) AS floor_p10, count(value) AS n_rows FROM events GROUP BY user_id")
 def noise_floor_p10(spark, sf_dir):
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy("user_id")
-        .agg(F.round(F.percentile("value", F.lit(0.1)), 6).alias("floor_p10"), F.count(F.lit(1)).alias("n_rows"))
-    )
+    found = quantiles.exact_quantile(table(spark, sf_dir, "events"), ["user_id"], "value", 0.1, "floor_p10")
+    return found.select("user_id", F.round("floor_p10", 6).alias("floor_p10"), F.col("n").alias("n_rows"))
 
 
 @query(

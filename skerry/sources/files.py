@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.config import GateConfig
+from skerry.functions import audio
 from skerry.functions import columns as C
 from skerry.functions.signal import gate
 from skerry.operators.tables import with_error
@@ -174,22 +176,35 @@ def claim_check(rows: DataFrame, uri: str, blobs: DataFrame) -> DataFrame:
 
 
 def detect(found: DataFrame, content: str = "content", config: GateConfig | None = None) -> DataFrame:
-    """``found`` without its ``content`` (16-bit samples, perhaps null), with ``speech_segments`` of the gate and
-    ``duration_ms``, file by file where they are read.
+    """``found`` without its ``content`` (perhaps null), with ``speech_segments`` of the gate and ``duration_ms``, file by
+    file where they are read.
+
+    Contents are WAV files (mixed to one channel and resampled to the gate's rate) or, without such a header, 16-bit samples
+    at that rate.  A WAV file that can't be read has no segments; where ``found`` has a column ``error`` (as from
+    ``claim_check``), it says why.
     """
     c = config or GateConfig()
     carry = [n for n in found.columns if n != content]
+    place = carry.index("error") if "error" in carry else None
     kinds = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            segments, lengths = [], []
+            segments, lengths, errors = [], [], []
             for blob in batch.column(len(carry)).to_pylist():
-                samples = np.frombuffer(blob or b"", np.int16, len(blob or b"") // 2)
+                try:
+                    samples, length = audio.samples_at(blob or b"", c.sample_rate)
+                    errors.append(None)
+                except ValueError as error:
+                    samples, length = np.zeros(0), None
+                    errors.append(str(error))
                 segments.append([{"start_ms": a, "end_ms": b} for a, b in gate(samples, c)])
-                lengths.append(len(samples) * 1000 // c.sample_rate)
+                lengths.append(length)
+            columns = batch.columns[:-1]
+            if place is not None:
+                columns[place] = pc.coalesce(columns[place], pa.array(errors, pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(segments, kinds), pa.array(lengths, pa.int64())],
+                [*columns, pa.array(segments, kinds), pa.array(lengths, pa.int64())],
                 names=[*carry, "speech_segments", "duration_ms"],
             )
 

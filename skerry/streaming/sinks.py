@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.streaming import topic
+
 #: Answers after which a request is sent again.
 AGAIN = (500, 502, 503, 504)
 
@@ -82,26 +84,14 @@ def deliver(
     return rows.mapInPandas(run, f"{key} {kind}, status int, delivered boolean")
 
 
-def append_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Create-only writes: rows whose key the table at ``path`` has are left out, so a batch may come twice.
-
-    The one with the least other columns stands for rows of one key.  One writer at a time.
-    """
-    spark = rows.sparkSession
-    others = [c for c in rows.columns if c not in keys]
-    first = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_first")).select(*keys, "_first.*")
-    here = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here):
-        first = first.join(spark.read.schema(first.schema).parquet(path).select(*keys), keys, "left_anti")
-    first.select(*rows.columns).write.mode("append").parquet(path)
-
-
 def write_csv(rows: DataFrame, path: str, *order: str) -> None:
     """CSV in the order of ``order`` over its files."""
     (rows.orderBy(*order) if order else rows).write.mode("overwrite").csv(path, header=True)
 
 
-def fan_out(rows: DataFrame, outputs: str, letters: str) -> None:
-    """Rows (with ``error``) to two tables in one batch: those without an error, and the dead letters."""
-    rows.where(F.col("error").isNull()).drop("error").write.mode("append").parquet(outputs)
-    rows.where(F.col("error").isNotNull()).write.mode("append").parquet(letters)
+def fan_out(rows: DataFrame, outputs: str, letters: str, batch: int | str) -> None:
+    """Rows (with ``error``) to two topics as one batch: those without an error, and the dead letters.  A batch that comes
+    again, whole or in part, adds only what is missing.
+    """
+    topic.publish(rows.where(F.col("error").isNull()).drop("error"), outputs, batch)
+    topic.publish(rows.where(F.col("error").isNotNull()), letters, batch)
