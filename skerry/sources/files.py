@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +19,73 @@ from skerry.functions.signal import gate
 from skerry.operators.tables import with_error
 
 
+#: Bytes of a range of a manifest, of a read, and how far around a range a boundary may reach.
+RANGE_BYTES, READ_BYTES, AROUND = 32 << 20, 1 << 20, 1 << 16
+#: The end of one object, a line break, and the beginning of the next with its first key.  Inside a string no quote stands
+#: bare, so this can't be found there; broken objects end at the next such place.
+BOUNDARY = re.compile(rb'\}[\s,]*?\n\s*(\{)(?=\s*(?:"(?:[^"\\]|\\.)*"\s*:|\}))', re.S)
+
+
+def objects(f, start: int, end: int) -> Iterator[bytes]:
+    """The objects of a seekable file that begin in ``[start, end)``, whatever other ranges it is read in."""
+    at = max(0, start - AROUND)
+    f.seek(at)
+    held, own, last = b"", 0 if start == 0 else None, False  # own: where the object begins that is being read
+    searched = 0
+    while not last:
+        more = f.read(READ_BYTES)
+        held, last = held + more, not more
+        for m in BOUNDARY.finditer(held, searched):
+            if m.start(1) + AROUND > len(held) and not last:
+                break  # what follows isn't there yet
+            if own is not None:
+                yield held[own : m.start() + 1]
+                own = None
+            if at + m.start(1) >= end:
+                return
+            if at + m.start(1) >= start:
+                own = m.start(1)
+            searched = m.start(1)
+        gone = searched if own is None else min(own, searched)
+        if own is None and not last:
+            gone = max(gone, len(held) - 2 * AROUND)
+        held, at, searched, own = held[gone:], at + gone, max(searched - gone, 0), None if own is None else own - gone
+    if own is not None:
+        yield held[own:]
+
+
+def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            path = row["path"]
+            store, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            held: list[str] = []
+            with store.open_input_file(name) as f:
+                for data in objects(f, row["start"], row["end"]):
+                    held.append(data.decode("utf-8", "replace"))
+                    if sum(map(len, held[-64:])) > READ_BYTES or len(held) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["raw"])
+                        held = []
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["raw"])
+
+
 def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A manifest of JSON objects, as an array or one after the other, with raw line breaks inside strings.
 
-    Files are cut where one object ends and the next begins on a new line; objects that can't be read are
-    passed over; line breaks in ``text`` and ``pred_text_*`` become spaces.
+    Objects end where the next begins on a new line with its first key; objects that can't be read are passed over; line
+    breaks in ``text`` and ``pred_text_*`` become spaces.  Files are read in ranges of ``RANGE_BYTES``, each of which finds
+    its first object by itself, so a task holds one object and a read, however large the file is.  Paths are listed by
+    Spark and read through Arrow's file systems.
     """
-    whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
-    body = F.regexp_replace(F.trim("value"), r"^\s*\[\s*|\s*\]\s*$", "")
-    parts = whole.select(F.explode(F.split(body, r"(?<=\})\s*,?\s*\n\s*(?=\{)")).alias("part"))
-    rows = parts.select(F.regexp_replace("part", r"[\r\n]+", " ").alias("raw")).select(
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(RANGE_BYTES).cast("long"))).alias("start")
+    ranges = listed.select("path", starts).withColumn("end", F.col("start") + RANGE_BYTES).repartition("path", "start")
+    raw = F.regexp_replace("raw", r"^[\s\[]+|[\s,\]]+$", "")
+    rows = ranges.mapInArrow(_objects, "raw string").select(F.regexp_replace(raw, r"[\r\n]+", " ").alias("raw")).where("raw <> ''")
+    parsed = rows.select(
         F.from_json("raw", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")
     )
-    return rows.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).select("r.*").drop("_broken")
+    return parsed.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).select("r.*").drop("_broken")
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
