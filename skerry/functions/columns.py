@@ -186,13 +186,10 @@ def _three(n: Column) -> Column:
 
 
 def _spelled(digits: Column) -> Column:
-    padded, scales = F.lpad(digits, SPELLED, "0"), F.split(F.lit(SCALES), " ")
-
-    def group(i: Column) -> Column:
-        n = F.substr(padded, i * 3 + 1, F.lit(3)).cast("int")
-        return F.when(n > 0, F.concat_ws(" ", _three(n), F.get(scales, i)))
-
-    groups = F.transform(F.sequence(F.lit(0), F.lit(SPELLED // 3 - 1)), group)
+    scales = F.split(F.lit(SCALES), " ")
+    padded = F.lpad(digits, SPELLED, "0")
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(SPELLED // 3 - 1)), lambda i: F.substr(padded, i * 3 + 1, F.lit(3)).cast("int"))
+    groups = F.transform(numbers, lambda n, i: F.when(n > 0, F.concat_ws(" ", _three(n), F.get(scales, i))))
     return F.array_join(groups, " ")
 
 
