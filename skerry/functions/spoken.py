@@ -7,8 +7,6 @@ from the most to the least specific, so the longest reading wins: ``May 5th, 202
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,133 +39,120 @@ BRANCHES = {
 PIECES = "(?i)" + "|".join(f"(?:{b})" for b in BRANCHES.values())
 
 
-def _with(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
-def _digits(digits: Column) -> Column:
-    """Digits one by one."""
-    each = F.regexp_extract_all(digits, F.lit("[0-9]"), 0)
-    return F.array_join(F.transform(each, lambda d: F.get(F.split(F.lit(ONES), " "), d.cast("int"))), " ")
-
+# A piece is read into atoms: a letter that says how (cardinal, ordinal, digit by digit, word as it is) and what.
 
-def cardinal(digits: Column) -> Column:
-    """Digits as words; leading zeros don't count, and more than ``SPELLED`` digits are read one by one."""
 
-    def say(d: Column) -> Column:
-        short = F.when(F.length(d) <= 2, F.get(F.split(F.lit(BELOW_100), ","), d.cast("int")))  # most of them
-        return F.when(F.length(d) > SPELLED, _digits(d)).when(d.rlike("^0+$"), F.lit("zero")).otherwise(F.coalesce(short, _spelled(d)))
+def _atom(kind: str, what: Column) -> Column:
+    return F.concat(F.lit(kind), what)
 
-    return _with(digits, say)
 
+def _word(text: str) -> Column:
+    return F.lit(f"w{text}")
 
-def ordinal(digits: Column) -> Column:
-    return _with(cardinal(digits), lambda words: F.regexp_replace(_ordinals(words), "y$", "ieth"))
 
-
-def _ordinals(words: Column) -> Column:
-    out = F.when(words.rlike("y$"), words).otherwise(F.concat(words, F.lit("th")))
-    for plain, irregular in IRREGULAR.items():
-        out = F.when(words.rlike(rf"\b{plain}$"), F.regexp_replace(words, f"{plain}$", irregular)).otherwise(out)
-    return out
+def _part(piece: Column, pattern: str) -> Column:
+    return F.regexp_extract(piece, "(?i)" + pattern, 1)
 
 
-def year(digits: Column) -> Column:
+def _year(y: Column) -> Column:
     """Four digits as a year: in pairs but for the first years of a thousand."""
-
-    def say(d: Column) -> Column:
-        high, low = F.substring(d, 1, 2), F.substring(d, 3, 2)
-        return (
-            F.when(F.substring(d, 2, 2) == "00", cardinal(d))
-            .when(low == "00", F.concat(cardinal(high), F.lit(" hundred")))
-            .when(low.startswith("0"), F.concat(cardinal(high), F.lit(" oh "), cardinal(low)))
-            .otherwise(F.concat_ws(" ", cardinal(high), cardinal(low)))
-        )
-
-    return _with(digits, say)
-
-
-def _month(number: Column) -> Column:
-    return F.get(F.split(F.lit(MONTHS), " "), number.cast("int") - 1)
-
-
-def _named_month(name: Column) -> Column:
-    found = F.filter(F.split(F.lit(MONTHS), " "), lambda m: m.startswith(F.lower(F.substring(name, 1, 3))))
-    return F.get(found, 0)
+    high, low = F.substring(y, 1, 2), F.substring(y, 3, 2)
+    return (
+        F.when(F.substring(y, 2, 2) == "00", F.array(_atom("c", y)))
+        .when(low == "00", F.array(_atom("c", high), _word("hundred")))
+        .when(low.startswith("0"), F.array(_atom("c", high), _word("oh"), _atom("c", low)))
+        .when(y != "", F.array(_atom("c", high), _atom("c", low)))
+        .otherwise(F.array().cast("array<string>"))
+    )
 
 
-def _part(piece: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(piece, "(?i)" + pattern, group)
+def _day(month: Column, day: Column, year: Column) -> Column:
+    return F.concat(F.array(_atom("w", month), _atom("o", day)), _year(year))
 
 
 def _date(p: Column) -> Column:
-    day, own = _part(p, r"^\p{L}+\.? (\d+)"), _part(p, r"(\d{4})$")
-    return F.concat_ws(" ", _named_month(p), ordinal(day), F.when(own != "", year(own)))
+    month = F.get(F.filter(F.split(F.lit(MONTHS), " "), lambda m: m.startswith(F.lower(F.substring(p, 1, 3)))), 0)
+    return _day(month, _part(p, r"^\p{L}+\.? (\d+)"), _part(p, r"(\d{4})$"))
 
 
-def _numbers(p: Column, month: int, day: int, of_year: int) -> Column:
+def _numeric_date(p: Column) -> Column:
+    """Month, day and year by strokes, or year, month and day by hyphens."""
     parts = F.split(p, "[/-]")
-    return F.concat_ws(" ", _month(F.get(parts, month)), ordinal(F.get(parts, day)), year(F.get(parts, of_year)))
+    parts = F.when(p.contains("-"), F.array(F.get(parts, 1), F.get(parts, 2), F.get(parts, 0))).otherwise(parts)
+    return _day(F.get(F.split(F.lit(MONTHS), " "), F.get(parts, 0).cast("int") - 1), F.get(parts, 1), F.get(parts, 2))
 
 
 def _time(p: Column) -> Column:
-    hour, minute, half = _part(p, r"^(\d+)"), _part(p, r":(\d\d)"), F.lower(_part(p, r"([ap])\.?m"))
-    said = (
-        F.when(minute == "00", F.when(half == "", F.lit("o'clock")))
-        .when(minute.startswith("0"), F.concat(F.lit("oh "), cardinal(minute)))
-        .otherwise(cardinal(minute))
-    )
-    return F.concat_ws(" ", cardinal(hour), said, F.when(half != "", F.concat(half, F.lit("m"))))
+    minute, half = _part(p, r":(\d\d)"), F.lower(_part(p, r"([ap])\.?m"))
+    low = F.when(minute == "00", F.when(half == "", _word("o'clock"))).otherwise(_atom("c", minute))
+    oh = F.when((minute != "00") & minute.startswith("0"), _word("oh"))
+    return F.array(_atom("c", _part(p, r"^(\d+)")), oh, low, F.when(half != "", F.concat(F.lit("w"), half, F.lit("m"))))
 
 
 def _money(p: Column) -> Column:
-    dollars = F.replace(_part(p, r"^\$([\d,]+)"), F.lit(","), F.lit(""))
+    dollars = _atom("c", F.replace(_part(p, r"^\$([\d,]+)"), F.lit(","), F.lit("")))
     cents, scale = _part(p, r"\.(\d\d)"), F.lower(_part(p, r" (\p{L}+)$"))
-    one = lambda n: n.rlike("^0*1$")
-    some = F.concat_ws(" ", cardinal(dollars), F.when(one(dollars), F.lit("dollar")).otherwise(F.lit("dollars")))
-    small = F.concat_ws(" ", cardinal(cents), F.when(one(cents), F.lit("cent")).otherwise(F.lit("cents")))
-    point = _digits(cents)
+    unit = F.when(dollars.rlike("^c0*1$"), _word("dollar")).otherwise(_word("dollars"))
+    small = F.when(cents == "01", _word("cent")).otherwise(_word("cents"))
+    some, none = (cents != "") & (cents != "00"), dollars.rlike("^c0+$")
+    point = F.when(cents != "", _word("point"))
+    return (
+        F.when(scale != "", F.array(dollars, point, F.when(cents != "", _atom("d", cents)), _atom("w", scale), _word("dollars")))
+        .when(~some, F.array(dollars, unit))
+        .when(none, F.array(_atom("c", cents), small))
+        .otherwise(F.array(dollars, unit, _word("and"), _atom("c", cents), small))
+    )
+
+
+#: How each class is read.
+READERS = {
+    "date": _date,
+    "numeric date": _numeric_date,
+    "iso date": _numeric_date,
+    "time": _time,
+    "money": _money,
+    "ordinal": lambda p: F.array(_atom("o", _part(p, r"^(\d+)"))),
+    "grouped": lambda p: F.array(_atom("c", F.replace(p, F.lit(","), F.lit("")))),
+    "decimal": lambda p: F.array(_atom("c", _part(p, r"^(\d+)")), _word("point"), _atom("d", _part(p, r"\.(\d+)$"))),
+    "number": lambda p: F.array(_atom("c", p)),
+}
+
+
+def _said(atom: Column) -> Column:
+    """One atom in words; leading zeros don't count, and more than ``SPELLED`` digits are read one by one."""
+    digits = F.substring(atom, 2, 1 << 20)
+    each = F.transform(F.regexp_extract_all(digits, F.lit("[0-9]"), 0), lambda d: F.get(F.split(F.lit(ONES), " "), d.cast("int")))
+    short = F.when(F.length(digits) <= 2, F.get(F.split(F.lit(BELOW_100), ","), digits.cast("int")))  # most of them
+    long = F.when(digits.rlike("^0+$"), F.lit("zero")).otherwise(_spelled(digits))
+    whole = F.coalesce(short, long)
     return (
-        F.when(scale != "", F.concat_ws(" ", cardinal(dollars), F.when(cents != "", F.concat(F.lit("point "), point)), scale, F.lit("dollars")))
-        .when((cents == "") | (cents == "00"), some)
-        .when(dollars.rlike("^0+$"), small)
-        .otherwise(F.concat_ws(" ", some, F.lit("and"), small))
+        F.when(atom.startswith("w"), digits)
+        .when(atom.startswith("d"), F.array_join(each, " "))
+        .otherwise(F.concat(F.substring(atom, 1, 1), F.when(F.length(digits) > SPELLED, F.array_join(each, " ")).otherwise(whole)))
     )
 
 
-def _decimal(p: Column) -> Column:
-    return F.concat_ws(" ", cardinal(_part(p, r"^(\d+)")), F.lit("point"), _digits(_part(p, r"\.(\d+)$")))
+def _ordinal(words: Column) -> Column:
+    """Cardinals (marked c) as they are, ordinals (marked o) by their last word."""
+    body = F.substring(words, 2, 1 << 20)
+    out = F.when(body.rlike("y$"), F.regexp_replace(body, "y$", "ieth")).otherwise(F.concat(body, F.lit("th")))
+    for plain, irregular in IRREGULAR.items():
+        out = F.when(body.rlike(rf"\b{plain}$"), F.regexp_replace(body, f"{plain}$", irregular)).otherwise(out)
+    return out
 
 
 def spoken(text: Column) -> Column:
     """A text with its dates, times, sums, ordinals and numbers as words; all else stays as it is, null stays null."""
-    readers = {
-        "date": _date,
-        "numeric date": lambda p: _numbers(p, 0, 1, 2),
-        "iso date": lambda p: _numbers(p, 1, 2, 0),
-        "time": _time,
-        "money": _money,
-        "ordinal": lambda p: ordinal(_part(p, r"^(\d+)")),
-        "grouped": lambda p: cardinal(F.replace(p, F.lit(","), F.lit(""))),
-        "decimal": _decimal,
-    }
-
-    def say(p: Column, kinds: tuple[str, ...]) -> Column:
-        out = p
-        for kind in reversed(kinds):
-            out = F.when(p.rlike(f"^(?i)(?:{BRANCHES[kind]})$"), readers[kind](p)).otherwise(out)
-        return out
-
-    plain = tuple(k for k in readers if k not in ("date", "money", "number"))
-
-    def piece(p: Column) -> Column:
-        return (
-            F.when(~p.rlike(r"\d"), p)
-            .when(p.rlike(r"^\d+$"), cardinal(p))
-            .when(p.startswith("$"), say(p, ("money",)))
-            .when(p.rlike(r"^\p{L}"), say(p, ("date",)))
-            .otherwise(say(p, plain))
-        )
-
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECES), 0), piece), "")
+
+    def atoms(p: Column) -> Column:
+        out = F.array(_atom("w", p))
+        for kind in reversed(READERS):
+            out = F.when(p.rlike(f"^(?i)(?:{BRANCHES[kind]})$"), READERS[kind](p)).otherwise(out)
+        return F.when(p.rlike(r"\d"), F.array_compact(out)).otherwise(F.array(_atom("w", p)))
+
+    def say(atom: Column) -> Column:
+        numbers = F.transform(F.array(_said(atom)), lambda w: F.when(atom.startswith("o"), _ordinal(w)).when(atom.startswith("c"), F.substring(w, 2, 1 << 20)).otherwise(w))
+        return F.get(numbers, 0)
+
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(PIECES), 0), atoms)
+    return F.array_join(F.transform(pieces, lambda own: F.array_join(F.transform(own, say), " ")), "")
