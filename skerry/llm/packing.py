@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from skerry.llm import tokens, words
 from skerry.llm.storage import cut, lean
 
+#: Bytes of a batch of texts: several slices of the encoder, so that few are cut short.
+BATCH_BYTES = 16 << 20
 CAPACITY = 2048
 OPEN_BINS = 512
 #: Ids that one task packs; enough that the bins left open at its end hardly count.
@@ -127,7 +129,7 @@ def pack(
     Null and empty texts are one piece, the end id alone.  Repeated rows are packed as often as they occur.
     Extra columns are not carried.  An empty table gives no rows.
     """
-    lean(docs.sparkSession)
+    lean(docs.sparkSession, BATCH_BYTES)
     pieces = cut(text_pieces(docs, capacity, end_id, tokenizer), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, round(total / IDS_PER_TASK))

@@ -23,6 +23,8 @@ from skerry.llm import tokens, words
 from skerry.llm.storage import cut, lean, new_path, uri
 
 MAGIC = b"PFOR0001"
+#: Bytes of a batch of texts: several slices of the encoder, so that few are cut short.
+BATCH_BYTES = 16 << 20
 BLOCK = 1024
 LANES = 16
 ROWS = BLOCK // LANES
@@ -302,7 +304,7 @@ def write_ids(
     name and renamed; a task that runs again replaces them by the same bytes.
     """
     spark = docs.sparkSession
-    lean(spark)
+    lean(spark, BATCH_BYTES)
     folder = uri(folder or new_path(spark, "pfor"))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)

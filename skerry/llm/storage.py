@@ -18,12 +18,12 @@ _scopes: list[list[str]] = []
 BATCH_BYTES = 4 << 20
 
 
-def lean(spark: SparkSession) -> None:
-    """Let this session hand workers batches of ``BATCH_BYTES`` at most, if it would hand them larger ones."""
+def lean(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let this session hand workers batches of ``most`` bytes at most, if it would hand them larger ones."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
-    if now is None or int(now[1]) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if now is None or int(now[1]) > most:
+        spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
