@@ -17,13 +17,13 @@ from skerry.operators.streams import TRANSMISSION
 class TtlDedup(StatefulProcessor):
     """First row of an id, again after ``ttl_ms`` of the rows' own time ``ts_ms``.
 
-    An id's state lives until its time to live is over, both by its own time and since it was set: a timer on processing
-    time deletes it then, so the store holds the ids of one time to live, not all that were ever seen.  Where rows come
+    If ``expiring``, an id's state lives until its time to live is over, both by its own time and since it was set: a timer on
+    processing time deletes it then, so the store holds the ids of one time to live, not all that were ever seen.  Where rows come
     more slowly than their own time says, an id may so be let through again after ``ttl_ms`` of the clock.
     """
 
-    def __init__(self, ttl_ms: int):
-        self.ttl = ttl_ms
+    def __init__(self, ttl_ms: int, expiring: bool):
+        self.ttl, self.expiring = ttl_ms, expiring
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -36,9 +36,10 @@ class TtlDedup(StatefulProcessor):
         passed = [kernel.on_row(int(t)) for t in batch.ts_ms]
         if kernel.until != before:
             self.until.update((kernel.until,))
-            for due in self.handle.listTimers():
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(max(kernel.until, timerValues.getCurrentProcessingTimeInMs() + self.ttl))
+            if self.expiring:
+                for due in self.handle.listTimers():
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(max(kernel.until, timerValues.getCurrentProcessingTimeInMs() + self.ttl))
         yield batch[passed]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -121,11 +122,16 @@ class Transmissions(StatefulProcessor):
         pass
 
 
-def dedup_stream(alerts: DataFrame, key: str, ttl_ms: int = 3_600_000) -> DataFrame:
-    """A stream of alerts (with ``ts_ms``), the first of each id within its time to live."""
+def dedup_stream(alerts: DataFrame, key: str, ttl_ms: int = 3_600_000, expiring: bool = False) -> DataFrame:
+    """A stream of alerts (with ``ts_ms``), the first of each id within its time to live.
+
+    A query without end should be ``expiring``: timers then delete what is over.  Timers keep Spark making batches, so a run
+    over what is there (``availableNow``) would not end with them; it keeps every id that it sees.
+    """
     return alerts.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=TtlDedup(ttl_ms), outputStructType=alerts.schema, outputMode="Append", timeMode="ProcessingTime"
-    )
+        statefulProcessor=TtlDedup(ttl_ms, expiring), outputStructType=alerts.schema, outputMode="Append",
+        timeMode="ProcessingTime" if expiring else "None",
+    )
 
 
 def transmissions_stream(
