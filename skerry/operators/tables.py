@@ -352,3 +352,73 @@ def violations(feeds: DataFrame, sources: DataFrame) -> DataFrame:
     return bad.select(
         "id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))).alias("rule")
     )
+
+
+# The states of a feed.
+STATUSES = ("unclaimed", "active", "failing", "quarantined", "deactivated")
+
+
+def all_violations(feeds: DataFrame, sources: DataFrame, properties: DataFrame) -> DataFrame:
+    """(id, rule) for every broken constraint of the feed table and of its ``properties`` (feed_id, stream_url).
+
+    Keys are counted in partial sums, null ones only marked, so no key of many rows fills a task.  A null source type breaks
+    its own rule, not that of known ones; a property row of no feed is listed under its own id.
+    """
+    ids = feeds.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("_ids"))
+    own = feeds.join(ids.where("_ids > 1"), "id", "left")
+    checks = {
+        "null id": F.col("id").isNull(),
+        "id not unique": F.col("_ids").isNotNull(),
+        "null source type": F.col("source_type").isNull(),
+        "null status": F.col("status").isNull(),
+        "unknown status": ~F.col("status").isin(*STATUSES),
+        "null failure count": F.col("failure_count").isNull(),
+        "null creation time": F.col("created_at").isNull(),
+    }
+    rules = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
+    known = violations(feeds.where(F.col("source_type").isNotNull()), sources).where("rule = 'unknown source type'")
+    names = violations(feeds, sources).where("rule <> 'unknown source type'")
+    one = feeds.select(F.col("id").alias("feed_id")).where("feed_id IS NOT NULL").distinct()
+    orphans = properties.join(one, "feed_id", "left_anti").select(F.col("feed_id").alias("id"), F.lit("properties of no feed").alias("rule"))
+    urls = properties.where(F.col("stream_url").isNull()).select(F.col("feed_id").alias("id"), F.lit("null stream url").alias("rule"))
+    return own.select("id", F.explode(rules).alias("rule")).unionByName(known).unionByName(names).unionByName(orphans).unionByName(urls)
+
+
+# Fixed value: the fields of a chunk message.
+CHUNK = "start_timestamp struct<seconds: long, nanos: int>, gcs_uri string, session_id string"
+
+
+def chunk_events(messages: DataFrame, body: str = "body") -> DataFrame:
+    """Chunk messages (``body``: JSON) with their fields, ``event_time_s`` and ``error``: the first that holds of a body that
+    can't be read, no start time, no uri, no session.  A null body can't be read; empty texts are missing.
+    """
+    schema = f"{CHUNK}, _broken string"
+    read = F.from_json(F.coalesce(F.col(body), F.lit("")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = messages.withColumn("_chunk", read).select(*messages.columns, "_chunk.*")
+    missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    unread = F.col("_broken").isNotNull() | (F.trim(F.coalesce(F.col(body), F.lit(""))) == "")
+    checked = with_error(
+        rows,
+        [
+            (unread, "failed to parse chunk"),
+            (F.col("start_timestamp").isNull(), "missing start_timestamp"),
+            (missing("gcs_uri"), "missing gcs_uri"),
+            (missing("session_id"), "missing session_id"),
+        ],
+    )
+    at = F.coalesce("start_timestamp.seconds", F.lit(0)) + F.coalesce("start_timestamp.nanos", F.lit(0)) / 1e9
+    return checked.withColumn("event_time_s", F.when(F.col("error").isNull(), at)).drop("_broken", "start_timestamp")
+
+
+#: Fields of an evaluated payload that are never unset: what isn't known is zero.
+ZEROED = ("start_ms", "end_ms", "start_audio_offset_ms", "end_audio_offset_ms")
+
+
+def evaluated_payload(evaluated: DataFrame) -> DataFrame:
+    """Evaluated transcripts as payloads: as they are, but unset times and offsets are zero, unset flags false and unset
+    decisions none, so that a reader can't tell a value that was never set from zero.
+    """
+    zero = {c: F.coalesce(F.col(c), F.lit(0).cast(evaluated.schema[c].dataType)) for c in ZEROED if c in evaluated.columns}
+    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("missing_prior_context", "missing_post_context") if c in evaluated.columns}
+    none = {"decisions": F.coalesce("decisions", F.array().cast("array<string>"))} if "decisions" in evaluated.columns else {}
+    return evaluated.withColumns(zero | flags | none)

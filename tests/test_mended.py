@@ -145,3 +145,41 @@ def test_a_chunk_and_its_repeat_keep_their_own_data():
     ready = [{"gcs_uri": "u", "event_ts_ms": 0, "kind": "drained"}, {"gcs_uri": "u", "event_ts_ms": 0, "kind": "late"}]
     own._stitched((1,), ready, Stitch(), meta)
     assert seen == [("u", 15_000, [(0, 100)])] * 2 and not meta
+
+
+def test_chunk_messages_have_one_reason_in_order(spark):
+    whole = {"start_timestamp": {"seconds": 5, "nanos": 250_000_000}, "gcs_uri": "u", "session_id": "s"}
+    cases = [
+        (json.dumps(whole), None, 5.25),
+        (json.dumps(whole | {"start_timestamp": {}}), None, 0.0),
+        (json.dumps({"gcs_uri": ""}), "missing start_timestamp", None),
+        (json.dumps(whole | {"gcs_uri": "", "session_id": None}), "missing gcs_uri", None),
+        (json.dumps(whole | {"session_id": ""}), "missing session_id", None),
+        ("{", "failed to parse chunk", None),
+        ("", "failed to parse chunk", None),
+        (None, "failed to parse chunk", None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "feed_id int, body string")
+    found = tables.chunk_events(df)
+    got = {r.feed_id: (r.error, r.event_time_s) for r in found.collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+    letters = tables.dead_letters(found, F.col("feed_id"), "parse").collect()
+    assert len(letters) == 6 and all(r.error for r in letters)
+    assert tables.chunk_events(df.limit(0)).count() == 0
+
+
+def test_unset_payload_fields_are_zero(spark):
+    rows = spark.createDataFrame([("a", None, 5, None, None, None), ("b", 0, None, 7, True, ["r"])], "id string, start_ms long, end_ms long, start_audio_offset_ms long, missing_prior_context boolean, decisions array<string>")
+    got = sorted(map(tuple, tables.evaluated_payload(rows).collect()))
+    assert got == [("a", 0, 5, 0, False, []), ("b", 0, 0, 7, True, ["r"])]
+
+
+def test_every_constraint(spark):
+    schema = "id long, name string, source_type string, status string, failure_count int, created_at int"
+    rows = [(1, "a", "x", "active", 0, 1), (1, "b", "x", "active", 0, 1), (None, None, None, None, None, None), (2, "a", "y", "odd", 0, 1)]
+    feeds, sources = spark.createDataFrame(rows, schema), spark.createDataFrame([("x",)], "slug string")
+    properties = spark.createDataFrame([(1, "u"), (2, None), (9, "u")], "feed_id long, stream_url string")
+    got = sorted(map(tuple, tables.all_violations(feeds, sources, properties).collect()), key=str)
+    none = ("null id", "null name", "null source type", "null status", "null failure count", "null creation time")
+    want = [(1, "id not unique")] * 2 + [(1, "name not unique"), (2, "name not unique"), (2, "unknown source type"), (2, "unknown status"), (2, "null stream url"), (9, "properties of no feed")]
+    assert got == sorted(want + [(None, n) for n in none], key=str)
