@@ -25,6 +25,8 @@ from skerry.llm.storage import cut, lean, new_path, uri
 MAGIC = b"PFOR0001"
 #: Bytes of a batch of texts: several slices of the encoder, so that few are cut short.
 BATCH_BYTES = 16 << 20
+#: Entries of each generation of the encoder's memory: this runs alone, so a worker may hold more than in the pipeline.
+REMEMBERED = 400_000
 BLOCK = 1024
 LANES = 16
 ROWS = BLOCK // LANES
@@ -254,7 +256,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         doc_ids: list[int | None] = []
         held: list[bytes] = []
         size, files = 0, 0
-        encoder = tokens.ChunkEncoder(tokenizer)
+        encoder = tokens.ChunkEncoder(tokenizer, REMEMBERED)
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, held, size, files
