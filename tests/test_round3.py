@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import functions as F
 
+from skerry.llm import toxicity
 from skerry.operators import keywords
 
 
@@ -37,3 +39,25 @@ def test_many_rules_are_one_part(spark):
     docs = spark.createDataFrame([(1, "-" + "x" * 58 + "17-"), (2, "x" * 59 + "7 " + "x" * 56 + "5999")], "id long, text string")
     got = {r.id: r.decisions for r in keywords.keyword_decisions(docs, rules).collect()}
     assert got == {1: ["r00017"], 2: ["r00007", "r05999"]}
+
+
+def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch):
+    """Texts beyond a bound were not learned from, so this fit had no toxic ones; parts are averaged alike however they lie."""
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 300)
+    monkeypatch.setattr(toxicity, "PART_BYTES", 20_000)
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        own = [f"w{rng.randrange(50)}" for _ in range(120 if i % 3 == 0 else 20)]
+        if i % 3 == 0:
+            own[rng.randrange(120)] = rng.choice(["vileone", "horrid"])
+        rows.append((i, " ".join(own), "en"))
+    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, "", None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([*((i, int(i % 3 == 0)) for i in range(240)), (900, 1), (901, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    model = toxicity.fit_all(docs, labels)
+    assert toxicity.fit(docs, labels) is None
+    got = {r.doc_id: r._score for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(got[i] >= toxicity.CUT) == (i % 3 == 0) for i in range(240, 300)]) > 0.9
+    again = toxicity.fit_all(docs.repartition(5), labels.repartition(3))
+    assert np.array_equal(model.embedding, again.embedding) and model.shift == again.shift and model.cuts == again.cuts
+    assert toxicity.fit_all(docs, labels.where("toxic = 0")) is None
