@@ -196,7 +196,8 @@ def _events(spark, sf_dir):
         row_number() OVER w - 1 AS n, min(ms) OVER (PARTITION BY user_id) AS a FROM {_MS} WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))"""
 )
 def chunk_timeline(spark, sf_dir):
-    rows = streams.chunk_starts(_events(spark, sf_dir), "user_id", "ms", ["ms", "event_id"], 15000)
+    events = _events(spark, sf_dir)
+    rows = streams.chunk_starts(events.repartition(streams.tasks_for(events), "user_id"), "user_id", "ms", ["ms", "event_id"], 15000)
     return rows.select("user_id", "event_id", "n", "chunk_start_ms")
 
 
@@ -839,7 +840,9 @@ def batch_of_15(spark, sf_dir):
 )
 def segment_ordinal(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    both = lines.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    n = streams.tasks_for(lines)  # the window keeps the join's partitions
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").repartition(n, "o_orderkey")
+    both = lines.repartition(n, "o_orderkey").join(orders, "o_orderkey")
     placed = streams.within_key(both, "o_orderkey", ["l_linenumber", "l_partkey", "l_extendedprice"])
     return placed.select("o_orderkey", "l_linenumber", F.lpad(F.col("place").cast("string"), 3, "0").alias("segment_id"))
 

@@ -231,6 +231,15 @@ def merged_by_place(left: DataFrame, right: DataFrame, key: str, same: tuple[str
     return checked.select("_a.*", *[F.col(f"_b.{c}").alias(c) for c in theirs])
 
 
+#: Rows of a key's table that one task sorts, about.
+TASK_ROWS = 1 << 20
+
+
+def tasks_for(df: DataFrame) -> int:
+    """As many tasks as the rows of a stored table need, so that what one sorts doesn't grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+
+
 def within_key(df: DataFrame, key: str, order: list[str], name: str = "place") -> DataFrame:
     """``df`` with the place of each row in its key, from 0."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))

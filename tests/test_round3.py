@@ -6,8 +6,9 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from skerry.llm import toxicity
-from skerry.operators import keywords
+from skerry.catalogue import QUERIES
+from skerry.llm import pages, toxicity
+from skerry.operators import keywords, streams
 
 
 def _matchers(names):
@@ -61,3 +62,19 @@ def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch):
     again = toxicity.fit_all(docs.repartition(5), labels.repartition(3))
     assert np.array_equal(model.embedding, again.embedding) and model.shift == again.shift and model.cuts == again.cuts
     assert toxicity.fit_all(docs, labels.where("toxic = 0")) is None
+
+
+def test_wide_nodes_are_matched_whole():
+    """Lists of more than 1,500 children were matched strip by strip: 600 of these 1,600 pairs."""
+    matcher = pages.Matcher()
+    x, y = (" ".join(["0html", *(f"1{t}" for t, n in own for _ in range(n))]) for own in ((("p", 1000), ("li", 1600)), (("li", 1600), ("td", 1000))))
+    to = matcher.align(x, y)
+    assert matcher.score(matcher.tree(x), matcher.tree(y)) == 1601
+    assert to == [0, *[-1] * 1000, *range(1, 1601)]
+
+
+def test_sorts_of_a_key_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(streams, "TASK_ROWS", 100)
+    assert streams.tasks_for(spark.range(1000)) == 10 and streams.tasks_for(spark.range(5)) == 4
+    found = QUERIES["segment_ordinal"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() > 4
