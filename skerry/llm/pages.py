@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -65,8 +66,8 @@ VARYING, VARYING_CHARS = 0.25, 120
 SHARE, ASIDE_WEIGHT = 0.85, 0.25
 #: An element below the slot that holds this share of the varying text there is no aside, whatever its name.
 MAIN_SHARE = 0.5
-#: Children of two nodes that are matched at once; longer lists are cut in strips of the same share.
-WIDE = 1500
+#: Rows of gains that are kept while the children of two nodes are matched.
+KEPT = 256
 BROADCAST_BYTES = 16 << 20
 REMEMBERED = 20_000
 
@@ -237,32 +238,51 @@ class Matcher:
         return self.trees[skeleton]
 
     def _strips(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int, int, int]]:
-        """Ranges of x and y that are matched with each other: all that is between their equal heads and tails."""
+        """The ranges of x and y that are matched with each other: all that is between their equal heads and tails."""
         head, tail, least = 0, 0, min(len(x), len(y))
         while head < least and x[head] == y[head]:
             head += 1
         while tail < least - head and x[-1 - tail] == y[-1 - tail]:
             tail += 1
-        n, m = len(x) - head - tail, len(y) - head - tail
-        parts = max(1, -(-max(n, m) // WIDE)) if n and m else 0
-        return [
-            (head + n * k // parts, head + n * (k + 1) // parts, head + m * k // parts, head + m * (k + 1) // parts)
-            for k in range(parts)
-        ]
+        between = (head, len(x) - tail, head, len(y) - tail)
+        return [between] if len(x) > head + tail and len(y) > head + tail else []
 
     def _known(self, a: int, b: int) -> int | None:
         if a == b:
             return self.sizes[a]
         return 0 if self.kinds[a][0] != self.kinds[b][0] else self.scores.get((a, b))
 
-    def _table(self, x: tuple[int, ...], y: tuple[int, ...]) -> np.ndarray:
-        """The most nodes matched in every pair of heads of x and y."""
+    def _rows(self, x: tuple[int, ...], y: tuple[int, ...], row: np.ndarray) -> Iterator[np.ndarray]:
+        """The most nodes matched in each head of x and every head of y, from those of the rows of x before."""
         kinds, at = np.unique(y, return_inverse=True)
-        gain = {a: np.array([self._known(a, b) for b in kinds.tolist()], np.int64)[at] for a in set(x)}
-        rows = np.zeros((len(x) + 1, len(y) + 1), np.int64)
-        for i, a in enumerate(x):
-            rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + gain[a]))
-        return rows
+        gains: dict[int, np.ndarray] = {}
+        for a in x:
+            if a not in gains:
+                if len(gains) >= KEPT:
+                    gains.clear()
+                gains[a] = np.array([self._known(a, b) for b in kinds.tolist()], np.int64)[at]
+            row = np.r_[0, np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gains[a]))]
+            yield row
+
+    def _chosen(self, x: tuple[int, ...], y: tuple[int, ...]) -> Iterator[tuple[int, int]]:
+        """The pairs that are matched, from the last on.  Only about a root of the rows are held, others computed again."""
+        i, j, step = len(x), len(y), math.isqrt(len(x)) + 1
+        starts = [np.zeros(len(y) + 1, np.int64)]
+        for k, row in enumerate(self._rows(x, y, starts[0]), 1):
+            if k % step == 0:
+                starts.append(row)
+        while i and j:
+            first = (i - 1) // step
+            at = first * step
+            rows = [starts[first], *self._rows(x[at:i], y, starts[first])]
+            while i > at and j:
+                if rows[i - at][j] == rows[i - at - 1][j]:
+                    i -= 1
+                elif rows[i - at][j] == rows[i - at][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield i, j
 
     def score(self, a: int, b: int) -> int:
         """The most nodes that can be matched if the roots are (bottom up, without recursion)."""
@@ -274,11 +294,19 @@ class Matcher:
                 continue
             x, y = self.kinds[a_][1], self.kinds[b_][1]
             strips = self._strips(x, y)
-            inner = {(c, d) for i, j, k, n in strips for c in set(x[i:j]) for d in set(y[k:n])}
+            alike: dict[str, set[int]] = {}
+            for d in {d for _, _, k, n in strips for d in y[k:n]}:
+                alike.setdefault(self.kinds[d][0], set()).add(d)
+            inner = {(c, d) for i, j, _, _ in strips for c in set(x[i:j]) for d in alike.get(self.kinds[c][0], ())}
             if open_ := [p for p in inner if self._known(*p) is None]:
                 todo += open_
                 continue
-            both = 1 + sum(int(self._table(x[i:j], y[k:n])[-1, -1]) for i, j, k, n in strips)
+            both = 1
+            for i, j, k, n in strips:
+                row = np.zeros(n - k + 1, np.int64)
+                for row in self._rows(x[i:j], y[k:n], row):
+                    pass
+                both += int(row[-1])
             head = strips[0][0] if strips else min(len(x), len(y))
             tail = len(x) - strips[-1][1] if strips else 0
             if not strips:  # one list is the head and tail of the other
@@ -310,16 +338,7 @@ class Matcher:
                 tail = least - head
             chosen = [(k, k) for k in range(head)] + [(len(x) - k, len(y) - k) for k in range(1, tail + 1)]
             for first, i, other, j in strips:
-                rows = self._table(x[first:i], y[other:j])
-                i, j = i - first, j - other
-                while i and j:
-                    if rows[i, j] == rows[i - 1, j]:
-                        i -= 1
-                    elif rows[i, j] == rows[i, j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        chosen.append((first + i, other + j))
+                chosen += [(first + p, other + q) for p, q in self._chosen(x[first:i], y[other:j])]
             starts_x = np.cumsum([0, *(self.sizes[c] for c in x)]).tolist()
             starts_y = np.cumsum([0, *(self.sizes[c] for c in y)]).tolist()
             todo += [(x[i], y[j], at + 1 + starts_x[i], bt + 1 + starts_y[j]) for i, j in chosen]
