@@ -20,6 +20,8 @@ from skerry.llm.storage import cut, lean
 
 #: Bytes of a batch of texts: several slices of the encoder, so that few are cut short.
 BATCH_BYTES = 16 << 20
+#: Entries of each generation of the encoder's memory where packing runs alone; a worker of the pipeline holds fewer.
+REMEMBERED_ALONE = 400_000
 CAPACITY = 2048
 OPEN_BINS = 512
 #: Ids that one task packs; enough that the bins left open at its end hardly count.
@@ -67,9 +69,9 @@ class BestFit:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut_texts(path: str, capacity: int, end_id: int):
+def _cut_texts(path: str, capacity: int, end_id: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, encoder = 4 * capacity, tokens.ChunkEncoder(path)
+        step, encoder = 4 * capacity, tokens.ChunkEncoder(path, remembered)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             found = tokens.encode_all(batch.column(1), path, end_id, encoder)
@@ -109,11 +111,15 @@ def _pack(capacity: int, open_bins: int):
 
 
 def text_pieces(
-    docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str = tokens.DEFAULT_FILE
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    end_id: int = 0,
+    tokenizer: str = tokens.DEFAULT_FILE,
+    remembered: int = tokens.REMEMBERED,
 ) -> DataFrame:
     """Pieces of every document's ids; only documents longer than ``capacity`` have more than one."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _cut_texts(tokenizer, capacity, end_id), PIECES
+        _cut_texts(tokenizer, capacity, end_id, remembered), PIECES
     )
 
 
@@ -123,14 +129,16 @@ def pack(
     open_bins: int = OPEN_BINS,
     end_id: int = 0,
     tokenizer: str = tokens.DEFAULT_FILE,
+    remembered: int = tokens.REMEMBERED,
 ) -> DataFrame:
     """Every piece of every document with its sequence and place there.
 
     Null and empty texts are one piece, the end id alone.  Repeated rows are packed as often as they occur.
-    Extra columns are not carried.  An empty table gives no rows.
+    Extra columns are not carried.  An empty table gives no rows.  ``remembered`` is the encoder's memory in a task; the
+    rows do not depend on it.
     """
     lean(docs.sparkSession, BATCH_BYTES)
-    pieces = cut(text_pieces(docs, capacity, end_id, tokenizer), "pieces")
+    pieces = cut(text_pieces(docs, capacity, end_id, tokenizer, remembered), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, round(total / IDS_PER_TASK))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
